@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, quality, simhash
+from . import decontaminate, mixing, quality, simhash, wavelet
 from .common import documents
 
 
@@ -16,6 +17,20 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def tokenizer(path: str | None = None) -> str:
+    """The definition of the tokenizer; the driver reads it and ships it, so executors need no file."""
+    with open(path or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        return file.read()
+
+
+def op3_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.digest(documents(spark, sf_dir, "doc_id", "text"), tokenizer())
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(documents(spark, sf_dir, "doc_id", "source", "text"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(documents(spark, sf_dir, "doc_id", "text"), _table(spark, sf_dir, "benchmark"))
 
@@ -24,6 +39,6 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(documents(spark, sf_dir, "doc_id", "text"), _table(spark, sf_dir, "labels").select("doc_id", "quality"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op9_benchmark_decontamination, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op3_token_id_output, op7_mixing, op9_benchmark_decontamination, op10_quality_classifier)}
 
 SQL: dict[str, str] = {}
