@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, quality, simhash, wavelet
+from . import chat, decontaminate, mixing, quality, secret_scan, simhash, wavelet
 from .common import documents
 
 
@@ -27,10 +27,20 @@ def op3_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.digest(documents(spark, sf_dir, "doc_id", "text"), tokenizer())
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(documents(spark, sf_dir, "doc_id", "source", "text"))
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    planted = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.digest(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(planted))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(documents(spark, sf_dir, "doc_id", "text"), _table(spark, sf_dir, "benchmark"))
 
@@ -39,6 +49,6 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(documents(spark, sf_dir, "doc_id", "text"), _table(spark, sf_dir, "labels").select("doc_id", "quality"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op3_token_id_output, op7_mixing, op9_benchmark_decontamination, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op3_token_id_output, op4_secret_scan, op7_mixing, op8_chat_formatting, op9_benchmark_decontamination, op10_quality_classifier)}
 
 SQL: dict[str, str] = {}
