@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, mixing, quality, secret_scan, simhash, wavelet
+from . import chat, decontaminate, embeddings, mixing, quality, secret_scan, simhash, wavelet
 from .common import documents
 
 
@@ -31,6 +31,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(documents(spark, sf_dir, "doc_id", "source", "text"))
 
@@ -49,6 +53,6 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(documents(spark, sf_dir, "doc_id", "text"), _table(spark, sf_dir, "labels").select("doc_id", "quality"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op3_token_id_output, op4_secret_scan, op7_mixing, op8_chat_formatting, op9_benchmark_decontamination, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op3_token_id_output, op4_secret_scan, op5_embedding_near_dedup, op7_mixing, op8_chat_formatting, op9_benchmark_decontamination, op10_quality_classifier)}
 
 SQL: dict[str, str] = {}
