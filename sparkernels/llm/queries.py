@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, embeddings, mixing, quality, secret_scan, simhash, wavelet
+from . import chat, decontaminate, embeddings, mixing, quality, secret_scan, simhash, substring, wavelet
 from .common import documents
 
 
@@ -17,6 +17,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def tokenizer(path: str | None = None) -> str:
     """The definition of the tokenizer; the driver reads it and ships it, so executors need no file."""
     with open(path or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
@@ -53,6 +57,6 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(documents(spark, sf_dir, "doc_id", "text"), _table(spark, sf_dir, "labels").select("doc_id", "quality"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op3_token_id_output, op4_secret_scan, op5_embedding_near_dedup, op7_mixing, op8_chat_formatting, op9_benchmark_decontamination, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup, op3_token_id_output, op4_secret_scan, op5_embedding_near_dedup, op7_mixing, op8_chat_formatting, op9_benchmark_decontamination, op10_quality_classifier)}
 
 SQL: dict[str, str] = {}
