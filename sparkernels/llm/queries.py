@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, embeddings, mixing, quality, secret_scan, simhash, substring, wavelet
+from . import chat, decontaminate, embeddings, mixing, pii, quality, secret_scan, simhash, substring, wavelet
 from .common import documents
 
 
@@ -39,6 +39,10 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(documents(spark, sf_dir, "doc_id", "source", "text"))
 
@@ -57,6 +61,6 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(documents(spark, sf_dir, "doc_id", "text"), _table(spark, sf_dir, "labels").select("doc_id", "quality"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup, op3_token_id_output, op4_secret_scan, op5_embedding_near_dedup, op7_mixing, op8_chat_formatting, op9_benchmark_decontamination, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup, op3_token_id_output, op4_secret_scan, op5_embedding_near_dedup, op6_pii_surrogates, op7_mixing, op8_chat_formatting, op9_benchmark_decontamination, op10_quality_classifier)}
 
 SQL: dict[str, str] = {}
