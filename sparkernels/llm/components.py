@@ -62,7 +62,7 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component): the smallest node that each linked node reaches, itself included.
+    """(node, component): the smallest node that each linked node reaches; those smallest nodes have no row themselves.
 
     links: u, v (long). Links of a node to itself, repeats and either direction are allowed; nulls are ignored.
     Nodes without a link to another have no row. No node's neighbours are ever gathered: each round takes a minimum

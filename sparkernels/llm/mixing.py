@@ -134,8 +134,8 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame, weigh=cyclic_weights) -> DataFrame:
     """The rows of docs, all columns, as often as the mix takes them; those that it leaves out go."""
-    copies = mix(docs, weigh).where("copies > 0").groupBy(F.col("doc_id").alias("mix_id"), F.col("key").alias("mix_key")).agg(F.sum("copies").alias("mix_sum"), F.count("*").alias("mix_rows"))
-    keyed = docs.withColumn("mix_text", text_key())
-    found = keyed.join(copies, F.col("doc_id").cast("long").eqNullSafe(copies.mix_id) & (F.col("mix_text") == copies.mix_key))
-    # Rows that repeat each other share what was taken of them, the first ones the remainder.
-    return found.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("mix_sum") / F.col("mix_rows")).cast("int")))).select(*[found[c] for c in docs.columns])
+    copies = mix(docs, weigh).where("copies > 0").groupBy("doc_id", "key").agg(F.ceil(F.sum("copies") / F.count("*")).cast("int").alias("times"))
+    a = docs.select(F.col("doc_id").cast("long").alias("of"), text_key().alias("text_of"), F.struct(*docs.columns).alias("row"))
+    # Rows that repeat each other are taken equally often, rounded up.
+    found = a.join(copies, F.col("of").eqNullSafe(F.col("doc_id")) & (F.col("text_of") == F.col("key")))
+    return found.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
