@@ -1,0 +1 @@
+"""The kernels are batch computations without late data or state over time, so there are no streaming operators."""
