@@ -70,14 +70,14 @@ def _corner_finder(side: int, wrap: bool, threshold: int, arc: int):
         for dx, dy in RING:
             at = (y - first + 3 + dy) * side + x + dx
             inside = (x + dx >= 0) & (y + dy >= 0) & ((y + dy) * side + x + dx < side * side)
-            if not wrap:
-                inside &= x + dx < side
             q = flat[np.clip(at, 0, len(flat) - 1)]
             signs.append(np.where(inside, (q >= p + threshold).astype(np.int8) - (q <= p - threshold), 0))
         corner = np.zeros(p.shape, bool)
         for start in range(len(RING)):
             arc_sum = sum(signs[(start + i) % len(RING)].astype(np.int16) for i in range(arc))
             corner |= np.abs(arc_sum) == arc
+        if not wrap:
+            corner &= (x >= 3) & (x < side - 3) & (y >= 3) & (y < side - 3)
         ys, xs = np.nonzero(corner)
         return pa.table({"y": pa.array(ys + first, pa.int64()), "x": pa.array(xs, pa.int64()), "band": pa.array(np.full(len(ys), table["band"][0].as_py()), pa.int32())})
 
@@ -85,7 +85,7 @@ def _corner_finder(side: int, wrap: bool, threshold: int, arc: int):
 
 
 def corners(pixels: DataFrame, side: int, edge: str = "wrap", threshold: int = THRESHOLD, arc: int = ARC) -> DataFrame:
-    """(y, x, band): pixels with `arc` ring pixels in a row all brighter or all darker. edge: 'wrap', or 'interior'."""
+    """(y, x, band): pixels with `arc` ring pixels in a row all brighter or all darker. edge: 'wrap', or 'interior' for whole rings only."""
     banded = _banded(pixels, side, 3, 4)
     return banded.groupBy("band").applyInArrow(_corner_finder(side, edge == "wrap", threshold, arc), "y long, x long, band int")
 
