@@ -1,12 +1,13 @@
 """Token ids in wavelet-matrix shards: succinct bit-planes with access, counting and occurrence lookup from one file.
 
-A file: the magic, a length-prefixed JSON header, then its sections: the table of documents (Arrow, zstd), and for each
+A file: the magic, a length-prefixed JSON header, then its sections: the table of documents (Arrow, zstd), the alphabet, and for each
 bit of an id, highest first, a zstd-compressed plane of bits and the ranks of ones at every SAMPLE bits.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -14,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -28,58 +30,88 @@ END = 0
 #: A shard closes when it holds this many ids, which bounds what a task holds; a document is never split.
 SHARD_IDS = 1 << 22
 #: Words in an encoder's cache, words that it encodes in one call, and characters of text that it splits at once.
-CACHED, CALL, CHUNK = 700_000, 4096, 1 << 21
+CACHED, CALL, CHUNK = 2_000_000, 4096, 1 << 23
+#: A space that leads no word: the tokenizer may join it to the white space around it.
+ODD = re.compile(r" (?:\s|$)")
 
 
 class Encoder:
     """Encodes texts with a byte-level BPE tokenizer, each distinct space-led word once.
 
-    The tokenizer's split never crosses from a word to the single space that leads the next, so a text's ids are its
-    words' ids in a row; texts with runs of spaces go to the tokenizer whole. Strings of special tokens are text.
+    The tokenizer's split never crosses from a word to a single space that leads a word, so a text's ids are its
+    words' ids in a row; texts in which a space leads white space or nothing go to the tokenizer whole. Strings of
+    special tokens are text.
     """
 
     def __init__(self, definition: str) -> None:
-        self.tokenizer, self.marking = Tokenizer.from_str(definition), Tokenizer.from_str(definition)
+        self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
-        size = self.tokenizer.get_vocab_size()
-        self.width, self.dtype = max(1, (size - 1).bit_length()), np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        self.heads: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
-        specials = [(i, t.content) for i, t in self.marking.get_added_tokens_decoder().items() if t.special]
-        #: A special token between words keeps them apart in one call.
-        self.mark, self.between = specials[0] if specials else (None, None)
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _apart(self, words: list[str]) -> list[bytes]:
-        """The ids of each word by itself."""
-        if self.mark is None or any(self.between in w for w in words):
-            return self._whole(words)
-        ids = np.array(self.marking.encode(self.between.join(words), add_special_tokens=False).ids, self.dtype)
-        ends = [*np.flatnonzero(ids == self.mark), len(ids)]
-        if len(ends) != len(words):
-            return self._whole(words)
-        data, size, start, found = ids.tobytes(), self.dtype.itemsize, 0, []
-        for end in ends:
-            found.append(data[start * size : end * size])
-            start = end + 1
-        return found
-
-    def _learn(self, known: dict[str, bytes], words: set[str], lead: str) -> None:
-        if len(known) > CACHED:
-            known.clear()
-        new = [w for w in words if w not in known]
-        for i in range(0, len(new), CALL):
-            known.update(zip(new[i : i + CALL], self._apart([lead + w for w in new[i : i + CALL]]), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The little-endian ids of each text."""
-        split = [None if "  " in t else t.split(" ") for t in texts]
-        self._learn(self.heads, {w[0] for w in split if w}, "")
-        self._learn(self.tails, set().union(*(w[1:] for w in split if w)), " ")
-        tail = self.tails.__getitem__
-        return [self._whole([t])[0] if w is None else self.heads[w[0]] + b"".join(map(tail, w[1:])) for t, w in zip(texts, split, strict=True)]
+        vocabulary = self.tokenizer.get_vocab()
+        size = max(vocabulary.values(), default=0) + 1
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        #: Ids that begin with the space (byte-level alphabet: U+0120), where a word begins in a row of words.
+        self.leads = np.zeros(size, bool)
+        self.leads[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        """Known words, and where each one's ids stand in one flat row: some thirty bytes a word."""
+        self.words = pa.array([], pa.large_string())
+        self.flat, self.begins, self.sizes = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _apart(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, each with a space before it, in a row, and how many each has."""
+        ids = self.whole([" " + " ".join(words)])[0]
+        at = np.flatnonzero(self.leads[ids])
+        if len(at) == len(words) and at[0] == 0:
+            return ids, np.diff(at, append=len(ids))
+        each = self.whole([" " + w for w in words])
+        return np.concatenate(each), np.array([len(x) for x in each])
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """The index of each of the distinct words among the known ones, after learning the others."""
+        if len(self.words) > CACHED:
+            self._forget()
+        at = pc.index_in(words, value_set=self.words)
+        new = words.filter(pc.is_null(at))
+        texts, parts = new.to_pylist(), []
+        for i in range(0, len(texts), CALL):
+            parts.append(self._apart(texts[i : i + CALL]))
+        places = at.fill_null(0).to_numpy().astype(np.int64)
+        if parts:
+            places[at.is_null().to_numpy(zero_copy_only=False)] = len(self.words) + np.arange(len(texts))
+            ids, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
+            self.begins = np.concatenate([self.begins, len(self.flat) + np.cumsum(sizes) - sizes])
+            self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, ids])
+            self.words = pa.concat_arrays([self.words, new])
+        return places
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        plain = [i for i, t in enumerate(texts) if t and not ODD.search(t)]
+        out: list[np.ndarray] = [np.zeros(0, self.dtype)] * len(texts)
+        odd = sorted({i for i, t in enumerate(texts) if t} - set(plain))
+        for i, ids in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
+            out[i] = ids
+        if not plain:
+            return out
+        # A text's first word has no space before it: it is encoded by itself, and its place below stays empty.
+        split = pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), " ")
+        starts = split.offsets.to_numpy()[:-1]
+        firsts = self.whole([texts[i].partition(" ")[0] for i in plain])
+        coded = split.flatten().dictionary_encode()
+        places = self._places(coded.dictionary)[coded.indices.to_numpy()]
+        lengths = self.sizes[places]
+        lengths[starts] = 0
+        ends = np.cumsum(lengths)
+        where = np.arange(ends[-1]) + np.repeat(self.begins[places] - (ends - lengths), lengths)
+        ids, bounds = self.flat[where], ends[np.append(starts[1:], len(places)) - 1]
+        for i, first, rest in zip(plain, firsts, np.split(ids, bounds[:-1]), strict=True):
+            out[i] = np.concatenate([first, rest])
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -177,20 +209,57 @@ class WaveletMatrix:
         return x
 
 
-def dump(ids: np.ndarray, width: int, docs: pa.Table) -> bytes:
-    """The bytes of a file. docs: doc_id, n_tokens in the order of the ids."""
-    matrix, press = WaveletMatrix.build(ids, width), zstandard.ZstdCompressor(level=1)
+def dump(ids: np.ndarray, docs: pa.Table) -> bytes:
+    """The bytes of a file. docs: doc_id, n_tokens in the order of the ids.
+
+    The matrix holds places in the file's alphabet, the sorted ids that occur, which needs fewer planes than the ids.
+    """
+    counts = np.bincount(ids, minlength=1)
+    alphabet = np.flatnonzero(counts).astype(ids.dtype)
+    place = np.zeros(len(counts), ids.dtype)
+    place[alphabet] = np.arange(len(alphabet))
+    width = max(1, (len(alphabet) - 1).bit_length())
+    matrix, press = WaveletMatrix.build(place[ids], width), zstandard.ZstdCompressor(level=1)
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, docs.schema) as out:
         out.write_table(docs)
-    sections = [press.compress(sink.getvalue().to_pybytes())]
+    sections = [press.compress(sink.getvalue().to_pybytes()), press.compress(alphabet.tobytes())]
     for plane, ranks in zip(matrix.planes, matrix.ranks, strict=True):
         sections += [press.compress(plane.tobytes()), press.compress(ranks.tobytes())]
     header = json.dumps({"n": len(ids), "width": width, "dtype": ids.dtype.str, "sections": [len(s) for s in sections]}).encode()
     return b"".join([MAGIC, struct.pack("<I", len(header)), header, *sections])
 
 
-def load(data: bytes) -> tuple[WaveletMatrix, pa.Table]:
+class Shard:
+    """A file's ids, by the matrix of their places in its alphabet, and its documents."""
+
+    def __init__(self, matrix: WaveletMatrix, alphabet: np.ndarray, docs: pa.Table) -> None:
+        self.matrix, self.alphabet, self.docs = matrix, alphabet, docs
+
+    def _place(self, token: int) -> int | None:
+        at = int(np.searchsorted(self.alphabet, token))
+        return at if at < len(self.alphabet) and self.alphabet[at] == token else None
+
+    def access(self, i: int) -> int:
+        return int(self.alphabet[self.matrix.access(i)])
+
+    def count(self, token: int) -> int:
+        at = self._place(token)
+        return 0 if at is None else self.matrix.count(at)
+
+    def rank(self, token: int, i: int) -> int:
+        at = self._place(token)
+        return 0 if at is None else self.matrix.rank(at, i)
+
+    def occurrences(self, token: int) -> Iterator[int]:
+        at = self._place(token)
+        return iter(()) if at is None else self.matrix.occurrences(at)
+
+    def ids(self) -> np.ndarray:
+        return self.alphabet[self.matrix.ids()]
+
+
+def load(data: bytes) -> Shard:
     if data[:8] != MAGIC:
         raise ValueError("not a wavelet-matrix file")
     (size,) = struct.unpack_from("<I", data, 8)
@@ -199,8 +268,8 @@ def load(data: bytes) -> tuple[WaveletMatrix, pa.Table]:
         sections.append(zstandard.decompress(data[at : at + length]))
         at += length
     docs = pa.ipc.open_stream(sections[0]).read_all()
-    matrix = WaveletMatrix(header["n"], header["width"], sections[1::2], [np.frombuffer(s, "<u4") for s in sections[2::2]], header["dtype"])
-    return matrix, docs
+    matrix = WaveletMatrix(header["n"], header["width"], sections[2::2], [np.frombuffer(s, "<u4") for s in sections[3::2]], header["dtype"])
+    return Shard(matrix, np.frombuffer(sections[1], header["dtype"]), docs)
 
 
 SHARDS = "part int, seq int, n_docs long, n_tokens long, file binary"
@@ -210,21 +279,21 @@ DOCS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64())])
 def _sharder(definition: str, shard_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, seq = encoder(definition), TaskContext.get().partitionId(), 0
-        end = np.array([END], enc.dtype).tobytes()
+        end = np.array([END], enc.dtype)
         ids, docs, held = [], [], 0
 
         def shard() -> pa.RecordBatch:
-            lengths = [len(x) // enc.dtype.itemsize for x in ids]
+            lengths = [len(x) for x in ids]
             table = pa.Table.from_arrays([pa.array(docs, pa.int64()), pa.array(lengths, pa.int64())], schema=DOCS)
-            file = dump(np.frombuffer(b"".join(ids), enc.dtype), enc.width, table)
+            file = dump(np.concatenate(ids), table)
             columns = [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(docs)]), pa.array([sum(lengths)]), pa.array([file], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, ["part", "seq", "n_docs", "n_tokens", "file"])
 
         for doc_ids, texts in _chunks(batches):
             for doc_id, coded in zip(doc_ids, enc.encode(texts), strict=True):
-                ids.append(coded + end)
+                ids.append(np.concatenate([coded, end]))
                 docs.append(doc_id)
-                held += len(ids[-1]) // enc.dtype.itemsize
+                held += len(ids[-1])
                 if held >= shard_ids:
                     yield shard()
                     seq, ids, docs, held = seq + 1, [], [], 0
@@ -235,9 +304,9 @@ def _sharder(definition: str, shard_ids: int):
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
-    """Rows in small chunks of text: a split text takes many times its bytes."""
+    """Rows in chunks of bounded text, across batches."""
+    ids, texts, size = [], [], 0
     for batch in batches:
-        ids, texts, size = [], [], 0
         for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
             ids.append(doc_id.as_py())
             texts.append(text.as_py() or "")
@@ -245,8 +314,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]
             if size >= CHUNK:
                 yield ids, texts
                 ids, texts, size = [], [], 0
-        if ids:
-            yield ids, texts
+    if ids:
+        yield ids, texts
 
 
 def write(docs: DataFrame, definition: str, shard_ids: int = SHARD_IDS) -> Table:
@@ -267,8 +336,9 @@ READ = "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long"
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
-            matrix, docs = load(batch.column(2)[i].as_py())
-            ids, lengths = matrix.ids(), docs["n_tokens"].to_numpy()
+            shard = load(batch.column(2)[i].as_py())
+            docs = shard.docs
+            ids, lengths = shard.ids(), docs["n_tokens"].to_numpy()
             ends = np.cumsum(lengths)
             crcs = [zlib.crc32(ids[e - n : e].astype("<u4").tobytes()) for e, n in zip(ends, lengths, strict=True)]
             here = [pa.array(np.full(len(lengths), batch.column(k)[i].as_py(), np.int32)) for k in (0, 1)]
