@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, text_key
+from .common import Table, prepare, text_key
 
 #: The base patterns by kind, the group whose length counts, and its least length.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -81,7 +81,7 @@ def scan(docs: DataFrame) -> DataFrame:
     no spans; repeated rows share one result; several spans may share a place.
     """
     prepare(docs.sparkSession)
-    spans = _found(docs)
+    spans = Table(_found(docs), "spans").df
     base = spans.where(F.col("kind").isin([k for k, *_ in BASE]))
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int")
     each = base.union(_linked(spans)).withColumn("span", F.struct("lo", rank.alias("rank"), "kind", "hi"))
