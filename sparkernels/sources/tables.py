@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,11 +46,21 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("features"))
 
 
+def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The products of all pairs of dimensions, summed over a task's vectors: one row for each dimension."""
+    total = None
+    for batch in batches:
+        if batch.num_rows:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+            total = x.T @ x if total is None else total + x.T @ x
+    rows = [] if total is None else list(total)
+    yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.list_(pa.float64()))], ["i", "row"])
+
+
 def gram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(i, row): the products of the embeddings' dimensions, summed over all vectors: a square, positive matrix."""
-    each = points(spark, sf_dir).select(F.transform("features", lambda v: v.cast("double")).alias("f"))
-    cells = each.select("f", F.posexplode("f").alias("i", "a")).select("i", "a", F.posexplode("f").alias("j", "b"))
-    sums = cells.groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("v"))
+    each = points(spark, sf_dir).where(F.col("features").isNotNull()).select("features").mapInArrow(_products, "i int, row array<double>")
+    sums = each.select("i", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"))
     return sums.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("r")).select("i", F.transform("r", lambda p: p["v"]).alias("row"))
 
 
