@@ -29,7 +29,7 @@ SHINGLE = 10
 #: Distinct pieces that one task's automaton takes; larger groups take the exact way of step 3.
 GROUP = 256
 #: Words whose hashes a worker keeps, and windows looked at together.
-CACHED, BLOCK = 1 << 19, 1 << 18
+CACHED, BLOCK = 1 << 17, 1 << 16
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -155,7 +155,7 @@ def spans(words: list[bytes], known: SuffixAutomaton, least: int = WINDOW) -> li
     return found
 
 
-FETCHED = "doc_id long, key long, anchor long, first int, words string, h1 long, h2 long"
+FETCHED = "doc_id long, key long, anchor long, firsts array<int>, words string, h1 long, h2 long"
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,23 +164,25 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for doc_id, key, text, wanted in zip(*(c for c in batch.columns), strict=True):
             words = (text.as_py() or "").encode().split()
+            places: dict[tuple, set[int]] = {}
             for w in wanted.as_py():
-                a, n, named = w["first"], w["windows"], (doc_id.as_py(), key.as_py(), w["anchor"])
+                a, n = w["first"], w["windows"]
                 if w["crowded"]:
                     for first in range(a, a + n):
                         h = xxhash.xxh3_128_digest(b" ".join(words[first : first + WINDOW]))
-                        out.append((*named, first, None, *struct.unpack("<qq", h)))
+                        places.setdefault((w["anchor"], None, *struct.unpack("<qq", h)), set()).add(first)
                 else:
-                    out.append((*named, a, b" ".join(words[a : a + n + WINDOW - 1]), None, None))
-                if len(out) >= 20_000:
-                    yield _batch(out)
-                    out = []
+                    places.setdefault((w["anchor"], b" ".join(words[a : a + n + WINDOW - 1]), None, None), set()).add(a)
+            out += [(doc_id.as_py(), key.as_py(), anchor, sorted(firsts), *rest) for (anchor, *rest), firsts in places.items()]
+            if len(out) >= 20_000:
+                yield _batch(out)
+                out = []
         yield _batch(out)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "key", "anchor", "first", "words", "h1", "h2"])
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.string(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "key", "anchor", "firsts", "words", "h1", "h2"])
 
 
 SPANS = "doc_id long, key long, start int, stop int"
@@ -200,11 +202,12 @@ def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for words in held:
                 known.add(words)
             held = []
-            for _, doc_id, key, first, words in pieces_:
+            for _, doc_id, key, firsts, words in pieces_:
                 tokens = words.encode().split(b" ")
                 held.append(tokens)
                 if len(known.link) > 1:
-                    out += [(doc_id, key, first + a, first + b) for a, b in spans(tokens, known)]
+                    found = spans(tokens, known)
+                    out += [(doc_id, key, first + a, first + b) for first in firsts for a, b in found]
         if len(out) >= 20_000:
             yield _spans(out)
             out = []
@@ -218,21 +221,26 @@ def _spans(rows: list[tuple]) -> pa.RecordBatch:
 
 def repeated(keyed: DataFrame, group: int = GROUP) -> DataFrame:
     """Spans (doc_id, key, start, stop in words) to remove from keyed texts (doc_id, key, text); they may overlap."""
-    cut = Table(keyed.where(F.col("doc_id").isNotNull()).mapInArrow(_cut, PIECES), "pieces").df
+    cut = Table(keyed.where(F.col("doc_id").isNotNull()).mapInArrow(_cut, PIECES), "pieces")
+    shared = cut.df.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    met = Table(cut.df.join(shared, "anchor", "left_semi"), "met")
+    cut.release()
     same = ["anchor", "windows", "h1", "h2"]
-    distinct = cut.groupBy(*same).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    shared = distinct.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("least").alias("low"), F.max("most").alias("high")).where("low < high")
-    known = distinct.join(shared.select("anchor", "kinds"), "anchor").where("kinds > 1 or least < most").select(*same, "least", "kinds")
-    stood = Table(cut.join(known, same).select("doc_id", "key", "anchor", "first", "windows", "least", "kinds"), "stood").df
+    distinct = met.df.groupBy(*same).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    kinds = distinct.groupBy("anchor").agg(F.count("*").alias("kinds"))
+    known = distinct.join(kinds, "anchor").where("kinds > 1 or least < most").select(*same, "least", "kinds")
+    stood = Table(met.df.join(known, same).select("doc_id", "key", "anchor", "first", "windows", "least", "kinds"), "stood").df
+    met.release()
     whole = stood.where("doc_id > least").select("doc_id", "key", F.col("first").alias("start"), (F.col("first") + F.col("windows") + WINDOW - 1).alias("stop"))
     wanted = stood.where("doc_id = least and kinds > 1").select("doc_id", "key", F.struct("anchor", "first", "windows", (F.col("kinds") > group).alias("crowded")).alias("w"))
     wanted = wanted.groupBy("doc_id", "key").agg(F.collect_set("w").alias("wanted"))
     fetched = Table(keyed.join(wanted, ["doc_id", "key"]).select("doc_id", "key", "text", "wanted").mapInArrow(_fetch, FETCHED), "fetched").df
-    few = fetched.where("words is not null").select("anchor", "doc_id", "key", "first", "words").repartition("anchor").sortWithinPartitions("anchor", "doc_id", "key", "first")
-    single = fetched.where("words is null").select("doc_id", "key", "first", "h1", "h2")
+    few = fetched.where("words is not null").select("anchor", "doc_id", "key", "firsts", "words").repartition("anchor").sortWithinPartitions("anchor", "doc_id", "key", "firsts")
+    single = fetched.where("words is null").select("doc_id", "key", "firsts", "h1", "h2")
     # Equal windows combine before the shuffle, and a document is held against the smallest id of each of its own.
     first = single.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"))
-    later = single.join(first, ["h1", "h2"]).where("doc_id > least").select("doc_id", "key", F.col("first").alias("start"), (F.col("first") + WINDOW).alias("stop"))
+    later = single.join(first, ["h1", "h2"]).where("doc_id > least").select("doc_id", "key", F.explode("firsts").alias("start"))
+    later = later.select("doc_id", "key", "start", (F.col("start") + WINDOW).alias("stop"))
     return whole.union(few.mapInArrow(_streamed, SPANS)).union(later)
 
 
