@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes in one Arrow batch that Spark hands to a Python worker; long texts make batches of fewer rows.
-ARROW_BATCH_BYTES = 16 << 20
+ARROW_BATCH_BYTES = 4 << 20
 
 #: The whitespace that separates words in the contracts, as a Java and DuckDB pattern.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -66,6 +68,36 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return df.select(*columns) if columns else df
 
 
+@lru_cache(maxsize=1)
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def tidy() -> None:
+    """Give freed memory back: a worker waits for its next task with no more than it still holds."""
+    pa.default_memory_pool().release_unused()
+    if _libc() is not None:
+        _libc().malloc_trim(0)
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def tidied(run: Callable[[Batches], Batches], *forget: Callable[[], object]) -> Callable[[Batches], Batches]:
+    """run, clearing its caches and tidying up when its task ends: a worker outlives its task and serves other stages."""
+
+    def tidy_run(batches: Batches) -> Batches:
+        yield from run(batches)
+        for clear in forget:
+            clear()
+        tidy()
+
+    return tidy_run
+
+
 def text_key(text="text"):
     """With doc_id, names a document's row: repeated rows share it, different texts under one id do not."""
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull())

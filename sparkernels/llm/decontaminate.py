@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import encoded, prepare
+from .common import Table, encoded, prepare, tidied
 
 WINDOW = 10
 #: Words of benchmark text in one automaton, which bounds what is broadcast; larger benchmarks are scanned in blocks.
@@ -50,11 +50,15 @@ def build(items: list[tuple[str | None, str | None]]) -> ahocorasick.Automaton |
     return automaton
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _automaton(items: tuple) -> ahocorasick.Automaton | None:
     return build(list(items))
 
 
+def _forget() -> None:
+    _automaton.cache_clear()
+
+
 def scan(automaton, words: list[bytes]) -> list[tuple[int, int, tuple]]:
     """(first word, words, item_ids) of each occurrence of a window, in the order of their ends."""
     if automaton is None or not words:
@@ -92,7 +96,7 @@ def _scanner(items: tuple):
             kind = pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("items", pa.list_(pa.string()))]))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(hits, kind)], ["doc_id", "n_words", "hits"])
 
-    return scanned
+    return tidied(scanned, _forget)
 
 
 def benchmark_blocks(benchmark: DataFrame) -> list[tuple]:
@@ -136,17 +140,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     blocks = benchmark_blocks(benchmark)
     if len(blocks) == 1:
         return docs.select("doc_id", "text").mapInArrow(_scanner(blocks[0]), SCHEMA)
-    return docs.select("doc_id", "text").mapInArrow(_in_blocks(blocks), SCHEMA)
+    at = docs.select(F.col("doc_id").cast("long"), "text", F.lit(0).cast("long").alias("n_words"), F.array().cast(SCHEMA.partition("hits ")[2]).alias("hits"))
+    for block in blocks:
+        at = Table(at.mapInArrow(_appender(block), SCHEMA.replace("doc_id long,", "doc_id long, text string,")), "hits").df
+    return at.select("doc_id", "n_words", "hits")
 
 
-def _in_blocks(blocks: list[tuple]):
-    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _appender(items: tuple):
+    """The next block's hits, appended to those so far of rows (doc_id, text, n_words, hits)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [next(_scanner(block)(iter([batch]))) for block in blocks]
-            hits = [sum(row, []) for row in zip(*(p.column(2).to_pylist() for p in parts), strict=True)]
-            yield pa.RecordBatch.from_arrays([parts[0].column(0), parts[0].column(1), pa.array(hits, parts[0].column(2).type)], ["doc_id", "n_words", "hits"])
+            found = next(_scanner(items)(iter([batch.select([0, 1])])))
+            hits = [(old or []) + new for old, new in zip(batch.column(3).to_pylist(), found.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found.column(1), pa.array(hits, found.column(2).type)], ["doc_id", "text", "n_words", "hits"])
 
-    return scanned
+    return run
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -158,19 +167,19 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns, whose text holds no benchmark window; the others go."""
     prepare(docs.sparkSession)
     blocks = benchmark_blocks(benchmark)
-    at = docs.columns.index("text")
+    for block in blocks[:-1]:
+        docs = Table(docs.mapInArrow(_keeper(block, docs.columns.index("text")), docs.schema), "clean").df
+    return docs.mapInArrow(_keeper(blocks[-1], docs.columns.index("text")), docs.schema)
 
+
+def _keeper(items: tuple, at: int):
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(items)
         for batch in batches:
-            ok = np.ones(batch.num_rows, bool)
-            for block in blocks:
-                automaton = _automaton(block)
-                if automaton is None:
-                    continue
-                for i, text in enumerate(encoded(batch.column(at))):
-                    words = normal_words(text) if ok[i] else ()
-                    if words and next(automaton.iter(f" {b' '.join(words).decode('latin-1')} "), None) is not None:
-                        ok[i] = False
-            yield batch.filter(pa.array(ok))
-
-    return docs.mapInArrow(kept, docs.schema)
+            ok = []
+            for text in encoded(batch.column(at)):
+                words = normal_words(text) if automaton is not None else []
+                ok.append(not words or next(automaton.iter(f" {b' '.join(words).decode('latin-1')} "), None) is None)
+            yield batch.filter(pa.array(ok, pa.bool_()))
+
+    return tidied(kept, _forget)

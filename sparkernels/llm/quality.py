@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import encoded, prepare
+from .common import encoded, prepare, tidied
 
 #: Hash buckets of the model.
 BUCKETS = 1 << 18
@@ -21,7 +21,7 @@ TRAIN_ROWS = 8192
 THRESHOLD = 0.3
 FOLDS = 5
 #: Tokens of a text that are turned into features at once, and cached tokens in a worker.
-BLOCK, CACHED = 1 << 16, 1 << 18
+BLOCK, CACHED = 1 << 16, 1 << 16
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 _U64 = np.uint64
@@ -53,6 +53,13 @@ class _Hashes(dict):
 
 
 _words, _shapes = _Hashes(str.lower), _Hashes(shape)
+
+
+def _forget() -> None:
+    _words.clear()
+    _shapes.clear()
+
+
 _SAME = _U64(xxhash.xxh64_intdigest(b"the same token again"))
 _A, _B, _C = _U64(0x9E3779B97F4A7C15), _U64(0xC2B2AE3D27D4EB4F), _U64(0x165667B19E3779F9)
 
@@ -149,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     chosen = labels.where("doc_id is not null and quality is not null").where(fold() != 0).groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # The sample has at most `rows` narrow rows, so this broadcast is bounded.
     examples = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("quality").cast("int").alias("label"), F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"))
-    found = examples.repartition(1).sortWithinPartitions("h", "t").select("text", "label").mapInArrow(_fit, "weights binary, bias double").first()
+    found = examples.repartition(1).sortWithinPartitions("h", "t").select("text", "label").mapInArrow(tidied(_fit, _forget), "weights binary, bias double").first()
     if found is None:
         return Model(np.zeros(BUCKETS, np.float32), 0.0)
     return Model(np.frombuffer(found.weights, "<f4"), found.bias)
@@ -164,7 +171,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             scores = [model.score(text) for text in encoded(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidied(run, _forget), "doc_id long, score double")
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -182,4 +189,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([model.score(text) >= THRESHOLD for text in encoded(batch.column(at))], pa.bool_()))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.mapInArrow(tidied(kept, _forget), docs.schema)
