@@ -11,14 +11,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, Table, encoded, prepare
+from .common import LOWER_ASCII, Table, encoded, prepare, tidied
 from .components import components, thinned
 
 WORDS = 3
 SEED = 42
 MAX_BITS = 3
 #: Shingles hashed at once, which bounds a worker's memory for any length of text.
-BLOCK = 1 << 18
+BLOCK = 1 << 16
 #: Table rows under one segment value beyond which the value is indexed again by the other segment's halves.
 HOT = 2048
 
@@ -45,9 +45,13 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
 
 
-def _balls(value: Column, width: int) -> Column:
-    """The value and all values that differ from it in one of `width` bits."""
-    return F.concat(F.array(value), F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: value.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
+def _balls(value: Column, width: int, upward: bool = False) -> Column:
+    """The value and all values that differ from it in one of `width` bits; upward: only those with that bit set."""
+    bits = F.sequence(F.lit(0), F.lit(width - 1))
+    mask = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
+    if upward:
+        bits = F.filter(bits, lambda i: value.bitwiseAND(mask(i)) == 0)
+    return F.concat(F.array(value), F.transform(bits, lambda i: value.bitwiseXOR(mask(i))))
 
 
 def _segments(fp: Column) -> list[Column]:
@@ -63,20 +67,24 @@ def near(prints: DataFrame, hot: int = HOT) -> DataFrame:
     """Links (u, v) between distinct fingerprints `fp` that differ in at most 3 bits, u < v; none is lost.
 
     Multi-index hashing with two 32-bit segments: of 3 differing bits at most one lies in one of the two, so each
-    fingerprint looks up the 33 values within one bit of each of its segments in the table of segment values, and full
-    distances are verified. A segment value that over `hot` fingerprints share is indexed once more: the rest of the
+    fingerprint looks up the ball within one bit of each of its segments in the table of segment values, and full
+    distances are verified. Of two values that differ in one bit, the one without it finds the other, so half of each
+    ball is enough. A segment value that over `hot` fingerprints share is indexed once more: the rest of the
     difference, at most 3 bits of the other segment, leaves at most one in one of that segment's 16-bit halves, so
     (value, half) with the 17 values around it finds the same links with a 2^16 times finer key.
     """
     lo, hi = _segments(F.col("fp"))
     table = _exploded(prints, [lo, hi])
-    probe = _exploded(prints, [_balls(lo, 32), _balls(hi, 32)]).select("fp", "seg", F.explode("key").alias("key"))
+    probe = _exploded(prints, [_balls(lo, 32, upward=True), _balls(hi, 32, upward=True)]).select("fp", "seg", F.explode("key").alias("key"))
     crowded = table.groupBy("seg", "key").count().where(F.col("count") > hot).select("seg", "key")
     some = bool(crowded.take(1))
 
     def met(left: DataFrame, right: DataFrame, *on: str) -> DataFrame:
         a, b = left.withColumnRenamed("fp", "u"), right.withColumnRenamed("fp", "v")
-        return a.join(b, list(on)).where((F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MAX_BITS)).select("u", "v")
+        low, high = _segments(F.col("u"))
+        once = (F.col("u") < F.col("v")) | (F.when(F.col("seg") == 0, low).otherwise(high) != F.col("key"))
+        found = a.join(b, list(on)).where(once & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MAX_BITS))
+        return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
 
     if not some:
         return met(probe, table, "seg", "key")
@@ -92,7 +100,7 @@ def near(prints: DataFrame, hot: int = HOT) -> DataFrame:
 def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, fp) of each row, and (fp, root) of each distinct fingerprint with its smallest doc_id `least`."""
     prepare(docs.sparkSession)
-    prints = Table(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprints, "doc_id long, fp long"), "prints").df
+    prints = Table(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidied(_fingerprints), "doc_id long, fp long"), "prints").df
     classes = Table(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes").df
     joined = components(thinned(near(classes.select("fp"))))
     return prints, classes.join(joined, classes.fp == joined.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
