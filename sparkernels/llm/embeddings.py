@@ -115,11 +115,14 @@ def _pivots(reps: DataFrame, cell: int) -> dict[tuple, np.ndarray]:
     sizes = reps.groupBy("label", "dim").count().where(F.col("count") > cell).orderBy(F.desc("count"), "label", "dim").limit(PIVOTS // 2).collect()
     total = sum(r["count"] for r in sizes)
     want = {(r.label, r.dim): max(2, min(-(-r["count"] // cell), PIVOTS * r["count"] // total // 2)) for r in sizes}
-    found = {}
-    for (label, dim), k in want.items():
-        rows = reps.where((F.col("label") == label) & (F.col("dim") == dim)).orderBy(F.xxhash64("rep"), "rep").limit(k).select("embedding").collect()
-        found[label, dim] = _matrix(pa.array([list(r.embedding) for r in rows], pa.list_(pa.float64())))
-    return found
+    # At most PIVOTS / 2 rows, so this broadcast is bounded; about twice the pivots wanted come to the driver.
+    shares = [(label, dim, 2 * k / n["count"]) for ((label, dim), k), n in zip(want.items(), sizes, strict=True)]
+    spec = F.broadcast(reps.sparkSession.createDataFrame(shares, "label long, dim int, share double"))
+    place = F.xxhash64("rep").bitwiseAND(F.lit(0xFFFFFFFF)) / 2.0**32
+    found: dict[tuple, list] = {}
+    for r in reps.join(spec, ["label", "dim"]).where(place < F.col("share")).select("label", "dim", "rep", "embedding", place.alias("place")).collect():
+        found.setdefault((r.label, r.dim), []).append((r.place, r.rep, list(r.embedding)))
+    return {key: _matrix(pa.array([e for *_, e in sorted(rows)[: want[key]]], pa.list_(pa.float64()))) for key, rows in found.items()}
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL, block: int = BLOCK) -> DataFrame:
