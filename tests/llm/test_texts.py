@@ -316,6 +316,7 @@ def test_blocks_of_a_large_benchmark(spark, monkeypatch):
     whole = decontaminate.digest(docs, items).collect()
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 3)
     assert decontaminate.digest(docs, items).collect() == whole
+    assert decontaminate.clean(docs, items).count() == 0
 
 
 def test_classifier_separates_held_out_rows(spark, sf_dir):
@@ -333,6 +334,27 @@ def test_classifier_without_labels_or_texts(docs, empty, spark):
     assert quality.keep_good(docs, none).count() == docs.count()
 
 
+def test_very_long_texts(spark):
+    rng = np.random.default_rng(9)
+    spaced = " ".join(rng.choice([f"w{i}" for i in range(500)], 150_000))
+    solid = "Ab1" * 300_000
+    docs = spark.createDataFrame([(1, spaced, "a"), (2, spaced[:400_000], "b"), (3, solid, "a")], "doc_id long, text string, source string")
+    assert {r.doc_id: r.component_id for r in simhash.digest(docs).collect()}[3] == 3
+    gone = {r.doc_id: (r.n_words, r.n_removed) for r in substring.digest(docs).collect()}
+    assert gone[1] == (150_000, 0) and gone[2][0] - gone[2][1] in (0, 1) and gone[3] == (1, 0)
+    coded = wavelet.encoder(tokenizer())
+    assert {r.doc_id: r.n_tokens for r in wavelet.digest(docs, tokenizer()).collect()} == {i: len(coded.whole([t])[0]) + 1 for i, t in ((1, spaced), (2, spaced[:400_000]), (3, solid))}
+    assert [r.n_hex for r in secret_scan.digest(docs).collect()] == [0, 0, 0]
+    assert {r.text for r in pii.pseudonymised(docs).collect()} == {spaced, spaced[:400_000], solid}
+    assert sum(r["size"] for r in mixing.digest(docs).collect()) == sum(n for n, _ in gone.values())
+    items = spark.createDataFrame([("x", spaced[:100])], "item_id string, text string")
+    assert {r.doc_id: r.contaminated for r in decontaminate.digest(docs, items).collect()} == {1: True, 2: True, 3: False}
+    model = quality.Model(np.ones(quality.BUCKETS, np.float32), 0.0)
+    assert all(0 <= r.score <= 1 for r in quality.scored(docs, model).collect())
+    talk = spark.createDataFrame([(1, 0, "user", solid), (1, 1, "assistant", spaced)], "conv_id long, turn long, role string, text string")
+    assert chat.digest(talk).first().loss_chars == len(spaced)
+
+
 def test_empty_tables(empty, spark):
     items = spark.createDataFrame([], "item_id string, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int")
