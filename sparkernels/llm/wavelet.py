@@ -22,15 +22,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import Table, prepare, text_key
+from .common import Table, prepare, text_key, tidied
 
 MAGIC = b"WVMX0001"
 SAMPLE = 4096
 END = 0
 #: A shard closes when it holds this many ids, which bounds what a task holds; a document is never split.
-SHARD_IDS = 1 << 22
-#: Words in an encoder's cache, words that it encodes in one call, and characters of text that it splits at once.
-CACHED, CALL, CHUNK = 2_000_000, 4096, 1 << 23
+SHARD_IDS = 1 << 20
+#: Words in an encoder's cache, words that it encodes in one call and in one line of it, and characters of text that it
+#: splits at once.
+CACHED, CALL, LINE, CHUNK = 2_000_000, 4096, 256, 1 << 23
 #: A space that leads no word: the tokenizer may join it to the white space around it.
 ODD = re.compile(r" (?:\s|$)")
 
@@ -52,19 +53,19 @@ class Encoder:
         #: Ids that begin with the space (byte-level alphabet: U+0120), where a word begins in a row of words.
         self.leads = np.zeros(size, bool)
         self.leads[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         """Known words, and where each one's ids stand in one flat row: some thirty bytes a word."""
         self.words = pa.array([], pa.large_string())
-        self.flat, self.begins, self.sizes = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.begins, self.sizes = np.zeros(0, self.dtype), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _apart(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words, each with a space before it, in a row, and how many each has."""
-        ids = self.whole([" " + " ".join(words)])[0]
+        ids = np.concatenate(self.whole([" " + " ".join(words[i : i + LINE]) for i in range(0, len(words), LINE)]))
         at = np.flatnonzero(self.leads[ids])
         if len(at) == len(words) and at[0] == 0:
             return ids, np.diff(at, append=len(ids))
@@ -74,18 +75,17 @@ class Encoder:
     def _places(self, words: pa.Array) -> np.ndarray:
         """The index of each of the distinct words among the known ones, after learning the others."""
         if len(self.words) > CACHED:
-            self._forget()
+            self.forget()
         at = pc.index_in(words, value_set=self.words)
         new = words.filter(pc.is_null(at))
-        texts, parts = new.to_pylist(), []
-        for i in range(0, len(texts), CALL):
-            parts.append(self._apart(texts[i : i + CALL]))
+        texts = new.to_pylist()
         places = at.fill_null(0).to_numpy().astype(np.int64)
-        if parts:
+        if texts:
             places[at.is_null().to_numpy(zero_copy_only=False)] = len(self.words) + np.arange(len(texts))
+            parts = [self._apart(texts[i : i + CALL]) for i in range(0, len(texts), CALL)]
             ids, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
-            self.begins = np.concatenate([self.begins, len(self.flat) + np.cumsum(sizes) - sizes])
-            self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, ids])
+            self.begins = np.concatenate([self.begins, (len(self.flat) + np.cumsum(sizes) - sizes).astype(np.int32)])
+            self.sizes, self.flat = np.concatenate([self.sizes, sizes.astype(np.int32)]), np.concatenate([self.flat, ids])
             self.words = pa.concat_arrays([self.words, new])
         return places
 
@@ -137,7 +137,7 @@ class WaveletMatrix:
             planes.append(packed.tobytes())
             full = np.bitwise_count(packed[: len(packed) // (SAMPLE // 8) * (SAMPLE // 8)]).reshape(-1, SAMPLE // 8).sum(axis=1, dtype=np.int64)
             ranks.append(np.concatenate([[0], np.cumsum(full)]).astype("<u4"))
-            x = np.concatenate([x[~bit], x[bit]])
+            x = np.concatenate([x.take(np.flatnonzero(~bit)), x.take(np.flatnonzero(bit))])
         return cls(len(ids), width, planes, ranks, ids.dtype.str)
 
     def _ones(self, k: int, i: int) -> int:
@@ -203,8 +203,8 @@ class WaveletMatrix:
         for k in range(self.width - 1, -1, -1):
             bit = np.unpackbits(self.planes[k], count=self.n).view(bool)
             up = np.empty_like(x)
-            up[~bit] = x[: self.zeros[k]]
-            up[bit] = x[self.zeros[k] :] | x.dtype.type(1 << (self.width - 1 - k))
+            up[np.flatnonzero(~bit)] = x[: self.zeros[k]]
+            up[np.flatnonzero(bit)] = x[self.zeros[k] :] | x.dtype.type(1 << (self.width - 1 - k))
             x = up
         return x
 
@@ -276,7 +276,7 @@ SHARDS = "part int, seq int, n_docs long, n_tokens long, file binary"
 DOCS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64())])
 
 
-def _sharder(definition: str, shard_ids: int):
+def _sharder(definition: str, shard_ids: int, keep: bool = True):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, seq = encoder(definition), TaskContext.get().partitionId(), 0
         end = np.array([END], enc.dtype)
@@ -300,7 +300,7 @@ def _sharder(definition: str, shard_ids: int):
         if docs:
             yield shard()
 
-    return run
+    return run if keep else tidied(run, encoder.cache_clear)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
@@ -318,16 +318,17 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]
         yield ids, texts
 
 
-def write(docs: DataFrame, definition: str, shard_ids: int = SHARD_IDS) -> Table:
+def write(docs: DataFrame, definition: str, shard_ids: int = SHARD_IDS, keep: bool = True) -> Table:
     """Encode docs (doc_id, text) in ascending doc_id order, nulls first, into shards: one row and file each.
 
     The rows (part, seq) order the shards. They go through Spark's committed writer to the shared folder, so any store
     that Spark writes will do, and a task that runs again leaves nothing twice. Null texts are empty; every document
-    ends with id 0; rows that repeat a doc_id follow each other in the order of their texts' hashes; no row, no shard.
+    ends with id 0; keep: workers hold the tokenizer and known words for their next task, which saves time and takes
+    some hundred MB of each; rows that repeat a doc_id follow each other in the order of their texts' hashes; no row, no shard.
     """
     prepare(docs.sparkSession)
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", text_key())
-    return Table(ordered.mapInArrow(_sharder(definition, shard_ids), SHARDS), "wavelet")
+    return Table(ordered.mapInArrow(_sharder(definition, shard_ids, keep), SHARDS), "wavelet")
 
 
 READ = "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long"
@@ -350,9 +351,9 @@ def read(shards: DataFrame) -> DataFrame:
     prepare(shards.sparkSession)
     # A row for each shard of millions of ids: the one place where rows of all shards meet.
     before = shards.select("part", "seq", F.sum("n_tokens").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
-    rows = shards.select("part", "seq", "file").mapInArrow(_reader, READ)
+    rows = shards.select("part", "seq", "file").mapInArrow(tidied(_reader), READ)
     return rows.join(before, ["part", "seq"]).select("doc_id", (F.coalesce("before", F.lit(0)) + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def digest(docs: DataFrame, definition: str) -> DataFrame:
-    return read(write(docs, definition).df)
+def digest(docs: DataFrame, definition: str, keep: bool = True) -> DataFrame:
+    return read(write(docs, definition, keep=keep).df)
