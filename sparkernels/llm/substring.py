@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, encoded, prepare, text_key
+from .common import Table, encoded, prepare, text_key, tidied
 
 WINDOW = 50
 SHINGLE = 10
@@ -221,27 +221,30 @@ def _spans(rows: list[tuple]) -> pa.RecordBatch:
 
 def repeated(keyed: DataFrame, group: int = GROUP) -> DataFrame:
     """Spans (doc_id, key, start, stop in words) to remove from keyed texts (doc_id, key, text); they may overlap."""
-    cut = Table(keyed.where(F.col("doc_id").isNotNull()).mapInArrow(_cut, PIECES), "pieces")
-    shared = cut.df.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    met = Table(cut.df.join(shared, "anchor", "left_semi"), "met")
+    cut = Table(keyed.where(F.col("doc_id").isNotNull()).mapInArrow(tidied(_cut), PIECES), "pieces")
+    # Tables on one side of a join leave Spark free to split hot keys of the other.
+    shared = Table(cut.df.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor"), "shared")
+    met = Table(cut.df.join(shared.df, "anchor", "left_semi"), "met")
     cut.release()
+    shared.release()
     same = ["anchor", "windows", "h1", "h2"]
     distinct = met.df.groupBy(*same).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    kinds = distinct.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    known = distinct.join(kinds, "anchor").where("kinds > 1 or least < most").select(*same, "least", "kinds")
+    kinds = Table(distinct.groupBy("anchor").agg(F.count("*").alias("kinds")), "kinds")
+    known = distinct.join(kinds.df, "anchor").where("kinds > 1 or least < most").select(*same, "least", "kinds")
     stood = Table(met.df.join(known, same).select("doc_id", "key", "anchor", "first", "windows", "least", "kinds"), "stood").df
     met.release()
+    kinds.release()
     whole = stood.where("doc_id > least").select("doc_id", "key", F.col("first").alias("start"), (F.col("first") + F.col("windows") + WINDOW - 1).alias("stop"))
     wanted = stood.where("doc_id = least and kinds > 1").select("doc_id", "key", F.struct("anchor", "first", "windows", (F.col("kinds") > group).alias("crowded")).alias("w"))
     wanted = wanted.groupBy("doc_id", "key").agg(F.collect_set("w").alias("wanted"))
-    fetched = Table(keyed.join(wanted, ["doc_id", "key"]).select("doc_id", "key", "text", "wanted").mapInArrow(_fetch, FETCHED), "fetched").df
+    fetched = Table(keyed.join(wanted, ["doc_id", "key"]).select("doc_id", "key", "text", "wanted").mapInArrow(tidied(_fetch), FETCHED), "fetched").df
     few = fetched.where("words is not null").select("anchor", "doc_id", "key", "firsts", "words").repartition("anchor").sortWithinPartitions("anchor", "doc_id", "key", "firsts")
     single = fetched.where("words is null").select("doc_id", "key", "firsts", "h1", "h2")
     # Equal windows combine before the shuffle, and a document is held against the smallest id of each of its own.
     first = single.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"))
     later = single.join(first, ["h1", "h2"]).where("doc_id > least").select("doc_id", "key", F.explode("firsts").alias("start"))
     later = later.select("doc_id", "key", "start", (F.col("start") + WINDOW).alias("stop"))
-    return whole.union(few.mapInArrow(_streamed, SPANS)).union(later)
+    return whole.union(few.mapInArrow(tidied(_streamed), SPANS)).union(later)
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +277,7 @@ def stripped(docs: DataFrame, group: int = GROUP) -> DataFrame:
     keyed = docs.select(F.col("doc_id").cast("long"), text_key().alias("key"), "text")
     found = repeated(keyed, group).groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     joined = keyed.join(found, ["doc_id", "key"], "left").select("doc_id", "text", F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops"))
-    return joined.mapInArrow(_strip, "doc_id long, n_words long, n_removed long, kept string")
+    return joined.mapInArrow(tidied(_strip), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def digest(docs: DataFrame) -> DataFrame:
