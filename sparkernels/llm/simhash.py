@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import similar
 from .common import LOWER_ASCII, Table, encoded, prepare, tidied
 from .components import components, thinned
 
@@ -126,9 +127,11 @@ def digest(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, with one document of each group of near-duplicates: that of the smallest doc_id.
 
+    Near-duplicates are documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more, by way of
+    others too. Fingerprints cannot promise that at any radius, so `similar` finds them and none of op1's links count.
     Rows that repeat both its doc_id and its text are one document, and one of them stays; different texts under one
     doc_id are told apart only by their groups and stay while one of those groups has that smallest id. Rows without
     a doc_id cannot be chosen and stay.
     """
-    kept = _grouped(docs)[1].groupBy("root").agg(F.min("least").alias("doc_id")).select("doc_id").distinct()
+    kept = similar.grouped(docs).groupBy("root").agg(F.min("least").alias("doc_id")).select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).union(docs.where(F.col("doc_id").isNull()))

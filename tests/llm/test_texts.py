@@ -104,6 +104,38 @@ def test_keep_one_of_each_group(docs, texts):
     assert named.count(7) == 1 and 60 not in named and 61 not in named and {0, 1, 50} <= set(named) and None in named
 
 
+@pytest.mark.parametrize("common", [4, 1])
+def test_keep_one_of_each_similar_group_against_all_pairs(spark, monkeypatch, common):
+    monkeypatch.setattr(simhash.similar, "SAMPLE", 2)
+    monkeypatch.setattr(simhash.similar, "COMMON", common)
+    rng = np.random.default_rng(11)
+    line, rows = " ".join(f"common{i}" for i in range(30)), []
+    for _ in range(12):
+        base = [f"v{i}" for i in rng.integers(0, 5000, int(rng.integers(6, 200)))]
+        for k in range(8):
+            copy = list(base)
+            for at in rng.integers(0, len(copy), int(rng.integers(0, 1 + len(copy) // 25))):
+                copy[at] = f"n{rng.integers(0, 10**9)}"
+            rows.append((len(rows), " ".join(copy) + (f" {line}" if k % 3 == 0 else "")))
+    rows += [(200, None), (201, ""), (202, "a b"), (203, "A  b")]
+
+    def cut(text):
+        w = (text or "").lower().split()
+        return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [cut(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    want = sorted({rows[r][0] for r in root})
+    assert 20 < len(want) < 80
+    found = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(r.doc_id for r in found.collect()) == want
+
+
 def stripped(texts, n=50):
     owner = {}
     for i, t in texts:
