@@ -60,17 +60,20 @@ def _found(docs: DataFrame) -> DataFrame:
 def _linked(spans: DataFrame) -> DataFrame:
     """The weak parts that have a complementary part within the scope: doc_id, key, kind, lo, hi.
 
-    An interval join: parts are binned by scope, each looks into its own and the two neighbouring bins, and what lies
-    farther off than the scope goes. A bin holds at most as many parts as the scope has code points.
+    An interval join: of two parts the one behind starts in the bin in which the one before ends or in the next, as
+    the gap between them is a scope at most, however long they are. A bin holds at most as many starts, and as many
+    ends, as the scope has code points.
     """
-    parts = spans.where(F.col("kind").isin([k for k, _ in PARTS])).withColumn("bin", F.floor(F.col("lo") / SCOPE))
-    there = parts.select("doc_id", "key", F.col("kind").alias("kind2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"))
-    here = parts.alias("a")
-    other = there.alias("b")
-    close = (F.greatest(F.col("a.lo"), F.col("b.lo2")) - F.least(F.col("a.hi"), F.col("b.hi2"))) <= SCOPE
-    apart = (F.col("a.lo") >= F.col("b.hi2")) | (F.col("b.lo2") >= F.col("a.hi"))
-    on = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.bin") == F.col("b.bin")) & (F.col("a.kind") != F.col("b.kind2")) & close & apart
-    return here.join(other, on, "left_semi").select("a.doc_id", "a.key", "a.kind", "a.lo", "a.hi")
+    parts = spans.where(F.col("kind").isin([k for k, _ in PARTS]))
+    behind = parts.withColumn("bin", F.floor(F.col("lo") / SCOPE))
+    first = F.floor(F.col("hi") / SCOPE)
+    before = parts.withColumn("bin", F.explode(F.array(first, first + 1)))
+
+    def met(mine: DataFrame, other: DataFrame, gap: Column) -> DataFrame:
+        on = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.bin") == F.col("b.bin")) & (F.col("a.kind") != F.col("b.kind")) & gap.between(0, SCOPE)
+        return mine.alias("a").join(other.alias("b"), on, "left_semi").select("a.doc_id", "a.key", "a.kind", "a.lo", "a.hi")
+
+    return met(before, behind, F.col("b.lo") - F.col("a.hi")).union(met(behind, before, F.col("a.lo") - F.col("b.hi"))).distinct()
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -242,6 +242,18 @@ def test_weak_parts_are_reported_only_together(spark):
     assert secret_scan.digest(spark.createDataFrame([(1, apart)], "doc_id long, text string")).first().spans == ""
 
 
+def test_parts_link_at_any_place_and_length_within_the_scope(spark):
+    rows, want = [], {}
+    for n in (17, 40, 700):
+        for shift in range(0, 256, 15):
+            for gap in (1, 250, 256, 257):
+                text = "." * shift + " client_id=" + "r" * (n - 10) + " " * gap + "pwd=hunter22"
+                want[len(rows)] = gap <= 256
+                rows.append((len(rows), text))
+    found = secret_scan.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: "part_id" in r.spans and "part_secret" in r.spans for r in found} == want
+
+
 def test_surrogates_are_distinct_coreferent_and_typed(spark):
     rows = [(1, "Mail ann.lee@corp.example.com or ANN.LEE@corp.example.com, card 4041 8949 7460 8795 = 4041894974608795."), (2, "ann.lee@corp.example.com at 70.123.182.155, +1 (988) 555-2485; 123-45-6789"), (3, "Mr. John Stone met Frau Berta Klein and г-жа Анна Петрова; Mr John Stone left. v1.2.3 4.0"), (4, None), (5, ""), (1, "no data here"), (None, "10.0.0.1")]
     out = pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string"))
