@@ -20,12 +20,15 @@ BASE = (("assign", ASSIGN, 2, 12), ("access", ACCESS, 0, 18), ("hex", HEX, 0, 16
 #: Parts too weak to report alone: an identifier, a secret value and an endpoint.
 PARTS = (
     ("part_id", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{8,}|(?i:(?:access|client|user|account)[_-]?(?:key[_-]?)?id)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@-]{4,}"),
-    ("part_secret", r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*[0-9])(?=[0-9a-z+/_.=-]*[A-Z])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_.=-])|(?i:password|passwd|secret|pwd)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{6,11}(?![A-Za-z0-9+/_.=-])"),
+    ("part_secret", r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_.=-]*[0-9])(?=[0-9a-z+/_.=-]*[A-Z])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_.=-])|(?i:password|passwd|secret)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{6,11}(?![A-Za-z0-9+/_.=-])|(?i:pwd)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{6,}"),
     ("part_endpoint", r"(?i:https?|jdbc:[a-z0-9]+|s3|redis|amqps?|mongodb|postgres(?:ql)?|mysql)://[A-Za-z0-9_.@%-]+(?::[0-9]+)?(?:/[A-Za-z0-9_.%/-]*)?"),
 )
 #: A cheap test for any part, so most texts skip their patterns.
 HINT = r"AKIA|ASIA|://|(?i:[_-]?id[\"']?\x20*[:=]|password|passwd|secret|pwd)"
 
+#: Kinds that link as another: base spans of secret values, reported anyway, complement identifiers and endpoints.
+ROLES = {"assign": "part_secret", "hex": "part_secret"}
+
 #: Parts link within a scope of so many code points.
 SCOPE = 256
 
@@ -62,16 +65,20 @@ def _linked(spans: DataFrame) -> DataFrame:
 
     An interval join: of two parts the one behind starts in the bin in which the one before ends or in the next, as
     the gap between them is a scope at most, however long they are. A bin holds at most as many starts, and as many
-    ends, as the scope has code points.
+    ends, of a kind as the scope has code points. Base spans with a role (ROLES) are partners here, not results.
     """
-    parts = spans.where(F.col("kind").isin([k for k, _ in PARTS]))
+    role = F.col("kind")
+    for kind, as_ in ROLES.items():
+        role = F.when(F.col("kind") == kind, as_).otherwise(role)
+    weak = [k for k, _ in PARTS]
+    parts = spans.where(F.col("kind").isin([*weak, *ROLES])).withColumn("role", role)
     behind = parts.withColumn("bin", F.floor(F.col("lo") / SCOPE))
     first = F.floor(F.col("hi") / SCOPE)
     before = parts.withColumn("bin", F.explode(F.array(first, first + 1)))
 
     def met(mine: DataFrame, other: DataFrame, gap: Column) -> DataFrame:
-        on = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.bin") == F.col("b.bin")) & (F.col("a.kind") != F.col("b.kind")) & gap.between(0, SCOPE)
-        return mine.alias("a").join(other.alias("b"), on, "left_semi").select("a.doc_id", "a.key", "a.kind", "a.lo", "a.hi")
+        on = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.bin") == F.col("b.bin")) & (F.col("a.role") != F.col("b.role")) & gap.between(0, SCOPE)
+        return mine.where(F.col("kind").isin(weak)).alias("a").join(other.alias("b"), on, "left_semi").select("a.doc_id", "a.key", "a.kind", "a.lo", "a.hi")
 
     return met(before, behind, F.col("b.lo") - F.col("a.hi")).union(met(behind, before, F.col("a.lo") - F.col("b.hi"))).distinct()
 
@@ -80,7 +87,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, key, spans) of the rows of docs (doc_id, text) that have any: array<struct<lo, rank, kind, hi>> in order.
 
     Base kinds are reported wherever they match. An identifier, secret or endpoint too weak for that is reported only
-    when a part of another kind lies within SCOPE code points of it without overlapping it. Null and empty texts have
+    when a part of another kind lies within SCOPE code points of it without overlapping it; assigned and hex base spans
+    count as secrets for that. Null and empty texts have
     no spans; repeated rows share one result; several spans may share a place.
     """
     prepare(docs.sparkSession)

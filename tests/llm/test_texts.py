@@ -254,6 +254,14 @@ def test_parts_link_at_any_place_and_length_within_the_scope(spark):
     assert {r.doc_id: "part_id" in r.spans and "part_secret" in r.spans for r in found} == want
 
 
+def test_secrets_of_any_length_link_with_identifiers(spark):
+    secrets = ["pwd=hunter2hunter2", "AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", 'client_secret="abcdefghij12"', "password=" + "0123456789abcdef0123" * 2, "0123456789abcdef0123" * 2]
+    rows = [(i, f"client_id=robot77 {t}") for i, t in enumerate(secrets)] + [(9, f"{secrets[2]} {secrets[4]}")]
+    found = {r.doc_id: r.spans for r in secret_scan.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all("part_id:0:17" in found[i] for i in range(len(secrets))) and "part_" not in found[9]
+    assert all("part_secret" in found[i] for i in (0, 1))
+
+
 def test_surrogates_are_distinct_coreferent_and_typed(spark):
     rows = [(1, "Mail ann.lee@corp.example.com or ANN.LEE@corp.example.com, card 4041 8949 7460 8795 = 4041894974608795."), (2, "ann.lee@corp.example.com at 70.123.182.155, +1 (988) 555-2485; 123-45-6789"), (3, "Mr. John Stone met Frau Berta Klein and г-жа Анна Петрова; Mr John Stone left. v1.2.3 4.0"), (4, None), (5, ""), (1, "no data here"), (None, "10.0.0.1")]
     out = pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string"))
