@@ -112,18 +112,20 @@ def _code(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
 def assigned(entities: DataFrame, key: str) -> DataFrame:
     """(kind, norm, attempt) of distinct entities (kind, norm) such that no two of a type have one surrogate.
 
+    A column `match` holds one written form of each, from which the surrogate follows as in the text; without it, norm.
     Ties go to the smaller attempt, then to the smaller value; a surrogate that is a real value of its type is refused.
     """
-    at = Table(entities.withColumn("attempt", F.lit(0)), "attempts")
+    match = F.col("match" if "match" in entities.columns else "norm").alias("match")
+    at = Table(entities.select("kind", "norm", match, F.lit(0).alias("attempt")), "attempts")
     real = at.df.select("kind", F.col("norm").alias("made"))
     for _ in range(MOST_ATTEMPTS):
-        made = normal(F.col("kind"), surrogate(F.col("kind"), F.col("norm"), _code(key, F.col("kind"), F.col("norm"), F.col("attempt")), F.col("attempt")))
+        made = normal(F.col("kind"), surrogate(F.col("kind"), F.col("match"), _code(key, F.col("kind"), F.col("norm"), F.col("attempt")), F.col("attempt")))
         first = F.row_number().over(Window.partitionBy("kind", "made").orderBy("attempt", "norm"))
         held = at.df.withColumn("made", made).withColumn("nth", first).join(real.withColumn("real", F.lit(True)), ["kind", "made"], "left")
-        after = Table(held.select("kind", "norm", "attempt", ((F.col("nth") > 1) | F.coalesce("real", F.lit(False))).alias("again")), "attempts")
+        after = Table(held.select("kind", "norm", "match", "attempt", ((F.col("nth") > 1) | F.coalesce("real", F.lit(False))).alias("again")), "attempts")
         if not after.df.where("again").take(1):
             return after.df.select("kind", "norm", "attempt")
-        at = Table(after.df.select("kind", "norm", (F.col("attempt") + F.col("again").cast("int")).alias("attempt")), "attempts")
+        at = Table(after.df.select("kind", "norm", "match", (F.col("attempt") + F.col("again").cast("int")).alias("attempt")), "attempts")
     raise RuntimeError("too few surrogates of a type for its entities")
 
 
@@ -140,7 +142,8 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     found = with_any.select("doc_id", "key", F.posexplode(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).alias("n", "match")).dropDuplicates(["doc_id", "key", "n"])
     kind = _type(F.col("match"))
     mentions = Table(found.withColumn("kind", kind).where("kind is not null").withColumn("norm", normal(F.col("kind"), F.col("match"))), "mentions").df
-    chosen = assigned(mentions.select("kind", "norm").distinct(), key)
+    # All written forms of an entity have surrogates of one normal form, so any of them serves the check.
+    chosen = assigned(mentions.groupBy("kind", "norm").agg(F.min("match").alias("match")), key)
     made = surrogate(F.col("kind"), F.col("match"), _code(key, F.col("kind"), F.col("norm"), F.col("attempt")), F.col("attempt"))
     replaced = mentions.join(chosen, ["kind", "norm"]).select("doc_id", "key", "n", made.alias("made"))
     lists = replaced.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("n", "made"))).alias("made"))

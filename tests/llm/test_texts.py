@@ -287,6 +287,16 @@ def test_colliding_surrogates_are_told_apart(spark, monkeypatch):
     assert sorted(r.attempt for r in kept) == [0, 1, 2, 3, 4]
 
 
+def test_written_surrogates_are_told_apart(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(pii, "_code", lambda key, kind, norm, attempt: F.concat(F.substring(norm, -1, 1), F.repeat(attempt.cast("string"), 63)))
+    rows = [(i, f"+1 (988) 555-248{i}") for i in range(3)] + [(3, "+1 (988) 555.2481"), (4, "+1 (000) 000-0000")]
+    out = {r.doc_id: r.text for r in pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    numbers = {i: re.sub(r"\D", "", t) for i, t in out.items()}
+    assert len({numbers[i] for i in (0, 1, 2, 4)}) == 4 and "10000000000" not in numbers.values()
+
+
 def test_targets_are_capped_and_reshared():
     targets = mixing.shared({"a": 10, "b": 1000, "c": 1, None: 0}, {"a": 1.0, "b": 1.0, "c": 2.0, None: 5.0})
     assert targets["a"] == 30 and targets["c"] == 3 and targets[None] == 0 and targets["b"] == pytest.approx(1011 - 33)
