@@ -69,6 +69,17 @@ def _bucket(h: np.ndarray) -> np.ndarray:
     return ((h ^ (h >> _U64(29))) & _U64(BUCKETS - 1)).astype(np.int64)
 
 
+#: Tokens before a block that its n-grams reach: two, and one more that tells whether the first of them repeats it.
+REACH = 3
+
+
+def blocks(tokens: list[str]) -> Iterator[list[np.ndarray]]:
+    """The features of all tokens, block by block; n-grams across a boundary belong to the block in which they end."""
+    for i in range(0, len(tokens), BLOCK):
+        before = min(i, REACH)
+        yield [x[max(0, before - k) :] for x, k in zip(features(tokens[i - before : i + BLOCK]), (0, 1, 0, 1, 2), strict=True)]
+
+
 def features(tokens: list[str]) -> list[np.ndarray]:
     """Buckets of the word 1- and 2-grams and of the 1-, 2- and 3-grams of the words' written forms."""
     n = len(tokens)
@@ -86,8 +97,8 @@ class Model:
     def score(self, text: bytes) -> float:
         """The probability of label 1: a sparse dot product with each n-gram order's frequencies; empty texts get the bias."""
         total, count, tokens = np.zeros(5), np.zeros(5), TOKEN.findall(text.decode("utf-8", "replace"))
-        for i in range(0, len(tokens), BLOCK):
-            for k, idx in enumerate(features(tokens[max(0, i) : i + BLOCK])):
+        for block in blocks(tokens):
+            for k, idx in enumerate(block):
                 total[k] += self.weights[idx].sum(dtype=np.float64)
                 count[k] += len(idx)
         z = self.bias + float((total / np.maximum(count, 1)).sum())
@@ -107,7 +118,7 @@ class Ftrl:
 
     def learn(self, text: bytes, label: int) -> None:
         tokens = TOKEN.findall(text.decode("utf-8", "replace"))
-        parts = [features(tokens[i : i + BLOCK]) for i in range(0, len(tokens), BLOCK)]
+        parts = list(blocks(tokens))
         idx, val = [np.array([BUCKETS])], [np.array([1.0])]
         for order in zip(*parts, strict=True):
             joined = np.concatenate(order)

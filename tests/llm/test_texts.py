@@ -381,6 +381,14 @@ def test_blocks_of_a_large_benchmark(spark, monkeypatch):
     assert decontaminate.clean(docs, items).count() == 0
 
 
+@pytest.mark.parametrize("block", [1, 2, 3, 7])
+def test_blocks_of_a_long_text_lose_no_features(monkeypatch, block):
+    tokens = quality.TOKEN.findall("One two two two, three! 4 4 FIVE six a a a b " * 3)
+    whole = [x.tolist() for x in quality.features(tokens)]
+    monkeypatch.setattr(quality, "BLOCK", block)
+    assert [np.concatenate(x).tolist() for x in zip(*quality.blocks(tokens), strict=True)] == whole
+
+
 def test_classifier_separates_held_out_rows(spark, sf_dir):
     sf_dir = sf_dir.replace("sf0.001", "sf0.01")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
