@@ -151,6 +151,12 @@ def km_iterate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmeans.iterate(tables.points(spark, sf_dir), CLUSTERS, ROUNDS).select("id", "cid")
 
 
+@query
+def km_converge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rounds until no point changes its cluster; km_iterate is the first ROUNDS of them, as far as SQL is written out."""
+    return kmeans.iterate(tables.points(spark, sf_dir), CLUSTERS).select("id", "cid")
+
+
 @query
 def lu_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lu.pivot(tables.gram(spark, sf_dir)).select("i", "j", F.round("v", 4).alias("v"))

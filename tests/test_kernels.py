@@ -221,3 +221,21 @@ def test_empty_inputs(spark):
     assert kmeans.iterate(spark.createDataFrame([], "id long, features array<double>"), 3).count() == 0
     assert nbody.forces(random.bodies(spark, 5).where("id < 0")).count() == 0
     assert tsp.shortest(spark.createDataFrame([], "t int, x int, y int")).first().len == 0
+
+
+def test_kmeans_query_runs_until_nothing_changes(spark, sf_dir):
+    from sparkernels import queries
+
+    rows = sorted((r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect())
+    x = np.array([e for _, e in rows], np.float64)
+    centres, at, rounds = x[: queries.CLUSTERS], None, 0
+    while True:
+        new = ((x[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+        rounds += 1
+        if at is not None and (new == at).all():
+            break
+        at = new
+        centres = np.array([x[at == c].mean(axis=0) if (at == c).any() else np.zeros(x.shape[1]) for c in range(len(centres))])
+    assert rounds > queries.ROUNDS
+    found = {r.id: r.cid for r in queries.QUERIES["km_converge"](spark, sf_dir).collect()}
+    assert found == {i: int(c) for (i, _), c in zip(rows, at, strict=True)}
