@@ -1,74 +1,106 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over normalised test items, scanned once over each text."""
+"""Benchmark decontamination: one Aho-Corasick automaton over normalised test items, scanned once over each text.
+
+The automaton runs over word numbers: each word of the items is two letters of disjoint alphabets, so a word is found by
+its number and a match begins and ends where words do.
+"""
 
 from __future__ import annotations
 
 import hashlib
+import uuid
+from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import reduce
+from itertools import chain, repeat
+from math import isqrt
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, encoded, prepare, tidied
+from .common import Table, encoded, prepare, text_key, tidied
 
 WINDOW = 10
-#: Words of benchmark text in one automaton, which bounds what is broadcast; larger benchmarks are scanned in blocks.
-BLOCK_WORDS = 1 << 20
+#: Words of items in one automaton. A word adds up to 20 states of under 50 bytes, so a worker holds some 200 MB at most;
+#: larger benchmarks are scanned in blocks, and an item over a block's size is cut with its windows whole.
+BLOCK_WORDS = 1 << 18
 
 #: A-Z to a-z; every other ASCII byte but digits and letters to a space; bytes over 0x7F stay (UTF-8 keeps them whole).
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
-SCHEMA = "doc_id long, n_words long, hits array<struct<first:long,words:long,start:long,end:long,items:array<string>>>"
+HITS = "array<struct<first:long,words:long,start:long,end:long,items:array<string>>>"
+SCHEMA = f"doc_id long, n_words long, hits {HITS}"
 
 
 def normal_words(text: bytes) -> list[bytes]:
     return text.translate(NORMAL).split()
 
 
-def item_windows(words: list[bytes]) -> list[bytes]:
+def item_windows(words: list) -> list[tuple]:
     if len(words) <= WINDOW:
-        return [b" ".join(words)] if words else []
-    return [b" ".join(words[i : i + WINDOW]) for i in range(len(words) - WINDOW + 1)]
-
-
-def build(items: list[tuple[str | None, str | None]]) -> ahocorasick.Automaton | None:
-    """The automaton of all windows of (item_id, text); a window's value is (words, its item_ids). Null ids go unlisted."""
-    found: dict[bytes, set] = {}
-    for item, text in items:
-        for window in item_windows(normal_words((text or "").encode())):
-            found.setdefault(window, set()).update(() if item is None else (item,))
-    if not found:
-        return None
-    automaton = ahocorasick.Automaton()
-    for window, ids in found.items():
-        # Latin-1 gives each byte one character: no decoding, and offsets are byte offsets.
-        automaton.add_word(f" {window.decode('latin-1')} ", (window.count(b" ") + 1, len(window), tuple(sorted(ids))))
-    automaton.make_automaton()
-    return automaton
-
-
-@lru_cache(maxsize=1)
-def _automaton(items: tuple) -> ahocorasick.Automaton | None:
-    return build(list(items))
-
-
-def _forget() -> None:
-    _automaton.cache_clear()
-
-
-def scan(automaton, words: list[bytes]) -> list[tuple[int, int, tuple]]:
-    """(first word, words, item_ids) of each occurrence of a window, in the order of their ends."""
-    if automaton is None or not words:
-        return []
-    line = f" {b' '.join(words).decode('latin-1')} "
-    found = list(automaton.iter(line))
-    if not found:
-        return []
-    starts = np.cumsum([0, *(len(w) + 1 for w in words[:-1])])
-    return [(int(np.searchsorted(starts, end - length - 1)), n, ids) for end, (n, length, ids) in found]
+        return [tuple(words)] if words else []
+    return [tuple(words[i : i + WINDOW]) for i in range(len(words) - WINDOW + 1)]
+
+
+class Matcher:
+    """The automaton of all windows of items (item_id, words). Null ids go unlisted."""
+
+    #: A word that no item has.
+    OTHER = "\x00\x01"
+
+    def __init__(self, items: list[tuple[str | None, list[bytes]]]) -> None:
+        # Frequent words share the letters that the automaton tries first.
+        ranked = [w for w, _ in Counter(w for _, words in items for w in words).most_common()]
+        base = isqrt(len(ranked)) + 1
+        self.letters = {w: chr(0x100 + i // base) + chr(0x8000 + i % base) for i, w in enumerate(ranked)}
+        self.kinds: list[tuple[int, tuple]] = []
+        found: dict[str, list] = {}
+        for item, words in items:
+            for window in item_windows(words):
+                ids = found.setdefault(self.coded(window), [])
+                if item is not None and item not in ids:
+                    ids.append(item)
+        known: dict[tuple[int, tuple], int] = {}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for window, ids in found.items():
+            self.automaton.add_word(window, known.setdefault((len(window) // 2, tuple(sorted(ids))), len(known)))
+        self.kinds = list(known)
+        self.automaton.make_automaton()
+        self.some = bool(found)
+
+    def coded(self, words) -> str:
+        return "".join(map(self.letters.get, words, repeat(self.OTHER)))
+
+    def scan(self, words: list[bytes]) -> list[tuple[int, int, tuple]]:
+        """(first word, words, item_ids) of each occurrence of a window, in the order of their ends."""
+        if not self.some:
+            return []
+        found = []
+        for at, kind in self.automaton.iter(self.coded(words)):
+            n, ids = self.kinds[kind]
+            found.append((at // 2 - n + 1, n, ids))
+        return found
+
+    def any(self, words: list[bytes]) -> bool:
+        return self.some and next(self.automaton.iter(self.coded(words)), None) is not None
+
+
+class Block:
+    """A bounded part of a benchmark, broadcast; a worker builds its automaton once and keeps the last one it built."""
+
+    held: tuple[str, Matcher] | None = None
+
+    def __init__(self, items: Broadcast) -> None:
+        self.items, self.key = items, uuid.uuid4().hex
+
+    def matcher(self) -> Matcher:
+        if Block.held is None or Block.held[0] != self.key:
+            Block.held = None
+            Block.held = self.key, Matcher(self.items.value)
+        return Block.held[1]
 
 
 def _original(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -79,37 +111,63 @@ def _original(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return points[np.flatnonzero(edge == 1)], points[np.flatnonzero(edge == -1)]
 
 
-def _scanner(items: tuple):
+_KIND = pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("items", pa.list_(pa.string()))]))
+
+
+def _hits(matcher: Matcher, text: bytes) -> tuple[int, list[dict]]:
+    words = normal_words(text)
+    found = matcher.scan(words)
+    if not found:
+        return len(words), []
+    begin, end = _original(text)
+    return len(words), [{"first": a, "words": n, "start": int(begin[a]), "end": int(end[a + n - 1]), "items": list(ids)} for a, n, ids in found]
+
+
+def _scanner(block: Block):
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(items)
+        matcher = block.matcher()
         for batch in batches:
             sizes, hits = [], []
             for text in encoded(batch.column(1)):
-                words = normal_words(text)
-                found = scan(automaton, words)
-                sizes.append(len(words))
-                if found:
-                    begin, end = _original(text)
-                    hits.append([{"first": a, "words": n, "start": int(begin[a]), "end": int(end[a + n - 1]), "items": list(ids)} for a, n, ids in found])
-                else:
-                    hits.append([])
-            kind = pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("items", pa.list_(pa.string()))]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(hits, kind)], ["doc_id", "n_words", "hits"])
-
-    return tidied(scanned, _forget)
-
-
-def benchmark_blocks(benchmark: DataFrame) -> list[tuple]:
-    """The benchmark's (item_id, text) in blocks of bounded words: a stated query set, held against all rows in blocks."""
-    blocks, block, words = [], [], 0
+                size, found = _hits(matcher, text)
+                sizes.append(size)
+                hits.append(found)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(hits, _KIND)], ["doc_id", "n_words", "hits"])
+
+    return tidied(scanned)
+
+
+def _finder(block: Block):
+    """(doc_id, key, hits) of rows (doc_id, key, text) with any."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = block.matcher()
+        for batch in batches:
+            hits = [_hits(matcher, text)[1] for text in encoded(batch.column(2))]
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hits, _KIND)], ["doc_id", "key", "hits"])
+            yield out.filter(pa.array([bool(h) for h in hits], pa.bool_()))
+
+    return tidied(found)
+
+
+def benchmark_blocks(benchmark: DataFrame) -> Iterator[Block]:
+    """The benchmark's items in blocks of bounded words, one at a time: a stated query set, held against all rows in blocks.
+
+    Always at least one block; the driver holds no more than one.
+    """
+    sc = benchmark.sparkSession.sparkContext
+    block, size, made = [], 0, False
     for row in benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").distinct().orderBy("item_id", "text").toLocalIterator():
-        n = len((row.text or "").split()) + 1
-        if block and words + n > BLOCK_WORDS:
-            blocks.append(tuple(block))
-            block, words = [], 0
-        block.append((row.item_id, row.text))
-        words += n
-    return [*blocks, tuple(block)]
+        words = normal_words((row.text or "").encode())
+        for at in range(0, max(1, len(words) - WINDOW + 1), max(1, BLOCK_WORDS - WINDOW + 1)):
+            piece = words[at : at + max(BLOCK_WORDS, WINDOW)]
+            if block and size + len(piece) > BLOCK_WORDS:
+                yield Block(sc.broadcast(block))
+                block, size, made = [], 0, True
+            block.append((row.item_id, piece))
+            size += len(piece)
+    if block or not made:
+        yield Block(sc.broadcast(block))
 
 
 def _digest(hits: list[dict], words: int) -> tuple[int, int, str]:
@@ -128,34 +186,44 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(sha, pa.string()), pa.array([n > 0 for n in n_hit], pa.bool_())], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), "text")
+
+
+def _found(docs: DataFrame, first: Block, second: Block, others: Iterator[Block]) -> DataFrame:
+    """(doc_id, key, hits) of the distinct documents with hits, block after block, each block's hits written by themselves."""
+    keyed, parts = _keyed(docs), []
+    for block in chain((first, second), others):
+        parts.append(Table(keyed.mapInArrow(_finder(block), f"doc_id long, key long, hits {HITS}").dropDuplicates(["doc_id", "key"]), "hits").df)
+        block.items.destroy()
+    return reduce(DataFrame.union, parts)
+
+
+def _size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sizes = [len(normal_words(text)) for text in encoded(batch.column(2))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64())], ["doc_id", "key", "n_words"])
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, n_words, hits) for each row of docs (doc_id, text).
 
     A hit is an occurrence of a window of benchmark words: its first word and length in the document's words, its span
     in the original text in code points (end exclusive), and the ids of the items that hold the window. Null and empty
     texts have no words; an empty benchmark has no hits; repeated rows each get a row; a null item_id's windows hit
-    but name no item. A benchmark over the block limit is scanned block by block, and the rows' hits are concatenated.
+    but name no item. A benchmark over the block limit is scanned block by block, a block's hits are written, and the
+    rows' hits are gathered in the order of their places; only documents with hits are shuffled.
     """
     prepare(docs.sparkSession)
     blocks = benchmark_blocks(benchmark)
-    if len(blocks) == 1:
-        return docs.select("doc_id", "text").mapInArrow(_scanner(blocks[0]), SCHEMA)
-    at = docs.select(F.col("doc_id").cast("long"), "text", F.lit(0).cast("long").alias("n_words"), F.array().cast(SCHEMA.partition("hits ")[2]).alias("hits"))
-    for block in blocks:
-        at = Table(at.mapInArrow(_appender(block), SCHEMA.replace("doc_id long,", "doc_id long, text string,")), "hits").df
-    return at.select("doc_id", "n_words", "hits")
-
-
-def _appender(items: tuple):
-    """The next block's hits, appended to those so far of rows (doc_id, text, n_words, hits)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = next(_scanner(items)(iter([batch.select([0, 1])])))
-            hits = [(old or []) + new for old, new in zip(batch.column(3).to_pylist(), found.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found.column(1), pa.array(hits, found.column(2).type)], ["doc_id", "text", "n_words", "hits"])
-
-    return run
+    first = next(blocks)
+    second = next(blocks, None)
+    if second is None:
+        return docs.select("doc_id", "text").mapInArrow(_scanner(first), SCHEMA)
+    each = _found(docs, first, second, blocks).groupBy("doc_id", "key").agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits")).alias("h")
+    sized = _keyed(docs).mapInArrow(tidied(_size), "doc_id long, key long, n_words long").alias("d")
+    joined = sized.join(each, F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.key") == F.col("h.key")), "left")
+    return joined.select("d.doc_id", "n_words", F.coalesce("hits", F.array().cast(HITS)).alias("hits"))
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -164,22 +232,22 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, whose text holds no benchmark window; the others go."""
+    """The rows of docs, all columns, whose text holds no benchmark window; the others go. An empty benchmark keeps all."""
     prepare(docs.sparkSession)
     blocks = benchmark_blocks(benchmark)
-    for block in blocks[:-1]:
-        docs = Table(docs.mapInArrow(_keeper(block, docs.columns.index("text")), docs.schema), "clean").df
-    return docs.mapInArrow(_keeper(blocks[-1], docs.columns.index("text")), docs.schema)
+    first = next(blocks)
+    second = next(blocks, None)
+    if second is None:
+        return docs.mapInArrow(_keeper(first, docs.columns.index("text")), docs.schema)
+    hit = _found(docs, first, second, blocks).select(F.col("doc_id").alias("of"), "key").distinct().alias("h")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), text_key().alias("of_key"))
+    return rows.join(hit, F.col("id").eqNullSafe(F.col("of")) & (F.col("of_key") == F.col("key")), "left_anti").select("row.*")
 
 
-def _keeper(items: tuple, at: int):
+def _keeper(block: Block, at: int):
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(items)
+        matcher = block.matcher()
         for batch in batches:
-            ok = []
-            for text in encoded(batch.column(at)):
-                words = normal_words(text) if automaton is not None else []
-                ok.append(not words or next(automaton.iter(f" {b' '.join(words).decode('latin-1')} "), None) is None)
-            yield batch.filter(pa.array(ok, pa.bool_()))
+            yield batch.filter(pa.array([not matcher.any(normal_words(text)) for text in encoded(batch.column(at))], pa.bool_()))
 
-    return tidied(kept, _forget)
+    return tidied(kept)
