@@ -133,9 +133,24 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, weigh=cyclic_weights) -> DataFrame:
-    """The rows of docs, all columns, as often as the mix takes them; those that it leaves out go."""
-    copies = mix(docs, weigh).where("copies > 0").groupBy("doc_id", "key").agg(F.ceil(F.sum("copies") / F.count("*")).cast("int").alias("times"))
+    """The rows of docs, all columns, as often as the mix takes them; those that it leaves out go.
+
+    Rows that repeat each other share what the mix takes of them: each as often as the others, or once more.
+    """
+    taken = Table(mix(docs, weigh).groupBy("doc_id", "key").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0"), "mix-taken").df
     a = docs.select(F.col("doc_id").cast("long").alias("of"), text_key().alias("text_of"), F.struct(*docs.columns).alias("row"))
-    # Rows that repeat each other are taken equally often, rounded up.
-    found = a.join(copies, F.col("of").eqNullSafe(F.col("doc_id")) & (F.col("text_of") == F.col("key")))
-    return found.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
+    found = a.join(taken, F.col("of").eqNullSafe(F.col("doc_id")) & (F.col("text_of") == F.col("key")))
+    once = found.where("rows = 1").select("row", F.col("copies").alias("times"))
+    # Repeated rows are numbered where they lie, in a table that keeps their places: a window takes one group's rows of
+    # one partition, and another a group's counts by partition.
+    held = Table(found.where("rows > 1").select("doc_id", "key", "row", "copies", "rows").withColumn("id", F.monotonically_increasing_id()), "mix-repeated").df
+    parted = held.withColumn("part", F.shiftright("id", 33))
+    by = Window.partitionBy("part", "doc_id", "key")
+    counts = parted.groupBy("part", "doc_id", "key").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("doc_id", "key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    before = counts.select(F.col("part").alias("of_part"), F.col("doc_id").alias("of"), F.col("key").alias("text_of"), F.coalesce(upto, F.lit(0)).alias("before"))
+    numbered = parted.withColumn("nth", F.row_number().over(by.orderBy("id")) - 1)
+    dealt = numbered.join(before, (F.col("part") == F.col("of_part")) & F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("text_of")))
+    times = F.expr("copies div rows") + (F.col("before") + F.col("nth") < F.expr("copies % rows")).cast("int")
+    every = once.union(dealt.select("row", times.alias("times"))).where("times > 0")
+    return every.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")
