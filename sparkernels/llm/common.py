@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import pyarrow as pa
@@ -23,16 +24,20 @@ LOWER_ASCII = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes, because texts differ in length by orders of magnitude."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
+    """Bound Arrow batches by bytes, because texts differ in length by orders of magnitude; a bound of the caller's stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, str(ARROW_BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset, as in local tests."""
+    """The folder named in spark.checkpoint.dir. Where none is set, a local session gets a temporary one and a cluster an error."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         jsc = spark.sparkContext._jsc.sc()
         if jsc.getCheckpointDir().isEmpty():
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
         folder = jsc.getCheckpointDir().get()
     return folder.rstrip("/")
@@ -46,7 +51,8 @@ def _hadoop(spark: SparkSession, path: str):
 class Table:
     """A table written to the shared folder: it cuts the lineage and outlives lost executors.
 
-    `release()` deletes it once nothing will read it again; otherwise it goes when the session's JVM ends.
+    `release()` deletes it once nothing will read it again; otherwise it goes when the session's JVM ends. Tables that
+    an operator's result still reads are the caller's to release: `made()` lists those made inside it.
     """
 
     def __init__(self, df: DataFrame, label: str) -> None:
@@ -56,12 +62,28 @@ class Table:
         where, fs = _hadoop(self.spark, self.path)
         fs.deleteOnExit(where)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        for tables in _open:
+            tables.append(self)
 
     def release(self) -> None:
         where, fs = _hadoop(self.spark, self.path)
         fs.delete(where, True)
 
 
+_open: list[list[Table]] = []
+
+
+@contextmanager
+def made() -> Iterator[list[Table]]:
+    """The tables made inside, for release when what reads them has been written."""
+    tables: list[Table] = []
+    _open.append(tables)
+    try:
+        yield tables
+    finally:
+        _open[:] = [t for t in _open if t is not tables]
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     prepare(spark)
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")

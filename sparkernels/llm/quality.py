@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,12 +12,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import encoded, prepare, tidied
+from .common import encoded, prepare, text_key, tidied
 
 #: Hash buckets of the model.
 BUCKETS = 1 << 18
-#: At most this many labelled documents are fitted, chosen by a hash of doc_id: the documented bound of the sample.
-TRAIN_ROWS = 8192
+#: At most this many labelled documents are fitted, chosen by a hash of doc_id, and no more of them once so many bytes of
+#: text were: the documented bounds of the sample. No text is cut.
+TRAIN_ROWS, TRAIN_BYTES = 8192, 64 << 20
 THRESHOLD = 0.3
 FOLDS = 5
 #: Tokens of a text that are turned into features at once, and cached tokens in a worker.
@@ -138,17 +139,19 @@ class Ftrl:
         return Model(w[:-1].astype(np.float32), float(w[-1]))
 
 
-def fit_rows(rows: list[tuple[bytes, int]], passes: int = 1) -> Model:
-    learner = Ftrl(alpha=16.0)
-    for _ in range(passes):
-        for text, label in rows:
-            learner.learn(text, label)
+def fit_rows(rows: Iterable[tuple[bytes, int]], most: int = TRAIN_BYTES) -> Model:
+    """One pass over the examples, one at a time, until `most` bytes of text have been learnt."""
+    learner, seen = Ftrl(alpha=16.0), 0
+    for text, label in rows:
+        if seen >= most:
+            break
+        learner.learn(text, label)
+        seen += len(text)
     return learner.model()
 
 
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = [row for batch in batches for row in zip(encoded(batch.column(0)), batch.column(1).to_pylist(), strict=True)]
-    model = fit_rows(rows)
+    model = fit_rows(row for batch in batches for row in zip(encoded(batch.column(0)), batch.column(1).to_pylist(), strict=True))
     yield pa.RecordBatch.from_arrays([pa.array([model.weights.astype("<f4").tobytes()]), pa.array([model.bias])], ["weights", "bias"])
 
 
@@ -160,14 +163,15 @@ def fold():
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Fit on at most `rows` labelled documents outside fold 0, in the order of a hash of doc_id.
 
-    Labels with a null doc_id or quality are left out; of several labels of one doc_id the smallest counts; repeated
-    documents are repeated examples. Without any example the model is empty and scores 0.5.
+    Labels with a null doc_id or quality are left out; of several labels of one doc_id the smallest counts, and of
+    several texts of one doc_id the one of the least hash. Without any example the model is empty and scores 0.5.
     """
     prepare(docs.sparkSession)
     chosen = labels.where("doc_id is not null and quality is not null").where(fold() != 0).groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    # The sample has at most `rows` narrow rows, so this broadcast is bounded.
-    examples = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("quality").cast("int").alias("label"), F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"))
-    found = examples.repartition(1).sortWithinPartitions("h", "t").select("text", "label").mapInArrow(tidied(_fit, _forget), "weights binary, bias double").first()
+    # The sample has at most `rows` narrow rows, so this broadcast is bounded; copies combine before the shuffle.
+    examples = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    examples = examples.groupBy("doc_id").agg(F.min_by("text", text_key()).alias("text"), F.min("quality").cast("int").alias("label"))
+    found = examples.withColumn("h", F.xxhash64("doc_id")).repartition(1).sortWithinPartitions("h", "doc_id").select("text", "label").mapInArrow(tidied(_fit, _forget), "weights binary, bias double").first()
     if found is None:
         return Model(np.zeros(BUCKETS, np.float32), 0.0)
     return Model(np.frombuffer(found.weights, "<f4"), found.bias)
