@@ -174,7 +174,7 @@ def test_tokens_round_trip(docs, texts):
     import tokenizers
 
     reference = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    found = sorted(wavelet.read(wavelet.write(docs, tokenizer(), shard_ids=500).df).collect(), key=lambda r: r.start)
+    found = sorted(wavelet.read(wavelet.shards(docs, tokenizer(), shard_ids=500).df).collect(), key=lambda r: r.start)
     ids = {}
     for i, t in texts:
         ids.setdefault(i, []).append([*reference.encode(t or "", add_special_tokens=False).ids, 0])
@@ -204,6 +204,39 @@ def test_wavelet_access_rank_and_select(ids):
         assert [shard.rank(v, i) for i in range(len(ids) + 1)] == [ids[:i].count(v) for i in range(len(ids) + 1)]
 
 
+@pytest.mark.parametrize(("chunk", "cached"), [(5, 1 << 20), (40, 0), (1 << 20, 300)])
+def test_cut_texts_and_forgotten_words_give_the_same_ids(monkeypatch, chunk, cached):
+    monkeypatch.setattr(wavelet, "CHUNK", chunk)
+    monkeypatch.setattr(wavelet, "CACHED", cached)
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(["a", "bc", " ", " ", "\n", "é", "  x", "12", "'s", "."], int(rng.integers(0, 80)))) for _ in range(60)]
+    coder = wavelet.Encoder(tokenizer())
+    assert [x.tolist() for _ in range(3) for x in coder.encode(texts)] == [x.tolist() for x in coder.whole(texts)] * 3
+    assert coder.held() < cached + 40_000
+
+
+def test_files_last_and_are_read_in_part(docs, tmp_path):
+    index = wavelet.write(docs, tokenizer(), str(tmp_path / "out"), shard_ids=500)
+    rows = sorted(index.collect(), key=lambda r: r.start)
+    assert len(rows) > 3 and sorted(r.name for r in rows) == sorted(p.name for p in (tmp_path / "out").iterdir() if p.suffix == ".wvmx")
+    whole = [i for r in rows for i in wavelet.open_shard(str(tmp_path / "out"), r.name).ids().tolist()]
+    assert [r.start for r in rows] == np.cumsum([0, *(r.n_tokens for r in rows)])[:-1].tolist() and len(whole) == sum(r.n_tokens for r in rows)
+    assert [d for r in rows for d in wavelet.open_shard(str(tmp_path / "out"), r.name).docs["doc_id"].to_pylist()] == [r.doc_id for r in sorted(wavelet.digest(docs, tokenizer()).collect(), key=lambda r: r.start)]
+    with pytest.raises(FileExistsError):
+        wavelet.write(docs, tokenizer(), str(tmp_path / "out"))
+
+
+def test_one_token_is_read_without_inflating_the_planes():
+    ids = np.random.default_rng(1).integers(0, 50_000, 700_000).astype("<u2")
+    data = wavelet.dump(ids, pa.table({"doc_id": [1], "n_tokens": [len(ids)]}, schema=wavelet.DOCS))
+    shard = wavelet.load(data)
+    assert shard.access(654_321) == ids[654_321] and shard.matrix.blocks() == 3
+    # The alphabet, and of each plane one block and the ranks.
+    assert shard.inflated == 1 + 2 * shard.matrix.width < 1 + 4 * shard.matrix.width
+    with pytest.raises(IndexError):
+        shard.access(700_000)
+
+
 def test_rank_and_select_over_many_samples():
     ids = np.random.default_rng(0).integers(0, 50_000, 20_000).astype("<u2")
     shard = wavelet.load(wavelet.dump(ids, pa.table({"doc_id": [1], "n_tokens": [len(ids)]}, schema=wavelet.DOCS)))
