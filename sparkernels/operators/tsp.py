@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.loops import checkpointed
@@ -16,27 +16,34 @@ from ..plans.loops import checkpointed
 TOWNS = 20
 #: Prefixes are made long enough for so many jobs a worker.
 JOBS = 100
+#: Parts of the search between which the best length so far is shared.
+WAVES = 3
 
 
 def distances(towns: DataFrame) -> DataFrame:
     """(src, dst, dist, rank): whole distances between all towns, itself included, and their order from each town.
 
-    At most TOWNS rows meet each other; the order is by distance, ties by the town's number.
+    More than TOWNS towns are an error; the order is by distance, ties by the town's number. Each town meets a literal
+    list of the towns, so nothing is joined.
     """
-    a = towns.select(F.col("t").alias("src"), F.col("x").alias("ax"), F.col("y").alias("ay"))
-    b = F.broadcast(towns.limit(TOWNS + 1).select(F.col("t").alias("dst"), F.col("x").alias("bx"), F.col("y").alias("by")))
-    dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
-    pairs = a.join(b).select("src", "dst", F.floor(F.sqrt(dx * dx + dy * dy)).cast("int").alias("dist"))
+    listed = F.array(*[F.struct(F.lit(r.t).alias("dst"), F.lit(r.x).alias("bx"), F.lit(r.y).alias("by")) for r in _listed(towns)])
+    each = towns.select(F.col("t").alias("src"), "x", "y", F.explode(listed).alias("o"))
+    dx, dy = F.col("x") - F.col("o.bx"), F.col("y") - F.col("o.by")
+    pairs = each.select("src", "o.dst", F.floor(F.sqrt(dx * dx + dy * dy)).cast("int").alias("dist"))
     order = Window.partitionBy("src").orderBy("dist", "dst")
     return pairs.withColumn("rank", (F.row_number().over(order) - 1).cast("int"))
 
 
-def matrix(towns: DataFrame) -> np.ndarray:
-    """The distances as a matrix; at most TOWNS towns."""
+def _listed(towns: DataFrame) -> list[Row]:
     rows = towns.orderBy("t").limit(TOWNS + 1).collect()
     if len(rows) > TOWNS:
         raise ValueError(f"more than {TOWNS} towns")
-    xy = np.array([(r.x, r.y) for r in rows], np.int64).reshape(-1, 2)
+    return rows
+
+
+def matrix(towns: DataFrame) -> np.ndarray:
+    """The distances as a matrix; at most TOWNS towns."""
+    xy = np.array([(r.x, r.y) for r in _listed(towns)], np.int64).reshape(-1, 2)
     d = xy[:, None] - xy[None]
     return np.sqrt((d * d).sum(axis=2)).astype(np.int64)
 
@@ -125,14 +132,24 @@ def _searcher(d: np.ndarray, closed: bool, bound: int):
     return run
 
 
-def shortest(towns: DataFrame, closed: bool = False, workers: int = 8) -> DataFrame:
+def shortest(towns: DataFrame, closed: bool = False, workers: int = 8, waves: int = WAVES) -> DataFrame:
     """(len): the length of the shortest path from town 0 through all towns, or of the closed tour.
 
-    Prefixes are dealt out over many small tasks, shortest first; a task starts from the greedy bound and its own best.
+    Prefixes, shortest first, are searched in `waves` of many small tasks. A task starts from the best length that all
+    waves before it found, at first the greedy one, and goes on with its own best; prefixes as long as that are not
+    searched.
     """
     spark, d = towns.sparkSession, matrix(towns)
     if not len(d):
         return spark.createDataFrame([(0,)], "len long")
-    bound = greedy(d) + (int(d.max()) if closed else 0)
-    jobs = prefixes(spark, d, min(hops(len(d), workers), max(1, len(d) - 1)))
-    return jobs.repartition(20 * workers).mapInArrow(_searcher(d, closed, bound), "len long").agg(F.min("len").alias("len"))
+    best = greedy(d) + (int(d.max()) if closed else 0)
+    jobs = checkpointed(prefixes(spark, d, min(hops(len(d), workers), max(1, len(d) - 1))))
+    # Cuts of the prefixes' lengths; a wave without prefixes costs nothing.
+    edges = sorted(set(jobs.where(F.col("len") < best).approxQuantile("len", [k / waves for k in range(1, waves)], 0.01))) if waves > 1 else []
+    for low, high in zip([float("-inf"), *edges], [*edges, float("inf")], strict=True):
+        if low >= best:
+            break
+        wave = jobs.where((F.col("len") > low) & (F.col("len") <= high) & (F.col("len") < best))
+        found = wave.repartition(20 * workers).mapInArrow(_searcher(d, closed, best), "len long").agg(F.min("len").alias("len")).first().len
+        best = best if found is None else min(best, found)
+    return spark.range(1).select(F.lit(best).cast("long").alias("len"))

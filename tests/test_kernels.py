@@ -239,3 +239,106 @@ def test_kmeans_query_runs_until_nothing_changes(spark, sf_dir):
     assert rounds > queries.ROUNDS
     found = {r.id: r.cid for r in queries.QUERIES["km_converge"](spark, sf_dir).collect()}
     assert found == {i: int(c) for (i, _), c in zip(rows, at, strict=True)}
+
+
+def test_polar_numbers_against_the_sequential_method(spark):
+    u, at, want = random.mwc(np.arange(1, 40_000), 5).tolist(), 0, []
+    while len(want) < 3001:
+        a, b = (-1 + x / (2**31 - 1) * 2 for x in u[at : at + 2])
+        at += 2
+        w = a * a + b * b
+        if 0 < w < 1:
+            m = np.sqrt(-2 * np.log(w) / w)
+            want += [a * m, b * m]
+    got = [r.v for r in random.polar(spark, 3001, 0.0, 1.0, 5).orderBy("n").collect()]
+    assert got == pytest.approx(want[:3001], rel=1e-12)
+    sizes = [r.a for r in random.half_normals(spark, 3001, seed=5).collect()]
+    assert sorted(sizes) == sorted(int(abs(65536 * v)) + 1 for v in want[:3001])
+
+
+def test_a_drawn_start_against_the_sequential_one(spark):
+    points = random.points(spark, 200, 4).cache()
+    u = random.mwc(np.arange(1, 2000), 3).tolist()
+    want, k, at = [-1] * 200, 6, 0
+    for c in range(k):
+        want[u[at] % 200] = c
+        at += 1
+    for i in range(200):
+        if want[i] < 0:
+            want[i], at = u[at] % k, at + 1
+    assert [r.cid for r in random.mapping(spark, 200, k, 3).orderBy("id").collect()] == want
+    centres, begun = kmeans.drawn_points(points, k, 3)
+    assert centres.tolist() == [points.where(f"id = {u[c] % 200}").first().features for c in range(k)] and begun.count() == 200
+    ends = kmeans.iterate(points, k, seed=3)
+    assert ends.where("changed").count() == 0 and ends.count() == 200
+
+
+def test_too_many_towns_are_refused(spark):
+    with pytest.raises(ValueError, match="20 towns"):
+        tsp.distances(random.towns(spark, 30))
+    assert tsp.distances(random.towns(spark, 20)).count() == 400
+
+
+@pytest.mark.parametrize("waves", [1, 2, 7])
+def test_the_shared_bound_keeps_the_shortest_path(spark, waves):
+    assert tsp.shortest(random.towns(spark, 12), waves=waves).first().len == tsp.shortest(random.towns(spark, 12), waves=1).first().len
+
+
+def test_one_value_is_dealt_over_partitions(spark):
+    ints = spark.createDataFrame([(7,)] * 4000 + [(1,)] * 10, "a long").repartition(4)
+    out = intsort.sort(ints)
+    assert [tuple(r) for r in out.orderBy("pos").collect()] == list(enumerate([1] * 10 + [7] * 4000))
+    from pyspark.sql import functions as F
+
+    from sparkernels.plans import loops
+
+    keys = ints.withColumn("_any", F.rand(1)).repartitionByRange(4, "a", "_any").groupBy(F.spark_partition_id()).count()
+    assert max(r["count"] for r in keys.collect()) < 2500
+    moved = loops.traffic(ints.groupBy("a").count())
+    # The rows dealt out, and one row a value and task of the counts.
+    assert 4012 <= moved.read_records <= 4018 and moved.written_bytes > 0
+
+
+def test_distances_of_many_centres(spark):
+    points = random.points(spark, 20, 4).cache()
+    centres = np.random.default_rng(0).random((900, 4)) * 60000
+    got = {(r.id, r.cid): r.dist for r in kmeans.distances(points, centres).collect()}
+    x = {r.id: np.array(r.features, np.float64) for r in points.collect()}
+    assert len(got) == 20 * 900 and all(d == pytest.approx(np.linalg.norm(x[i] - centres[c])) for (i, c), d in got.items())
+
+
+def test_steps_in_time_against_plain_loops(spark):
+    bodies = random.bodies(spark, 12)
+    rows = sorted(tuple(r) for r in bodies.collect())
+    at = {i: (np.array(p[:3]), p[3], np.array(p[4:])) for i, *p in rows}
+    dt = old = nbody.FIRST_STEP
+    clock = 0.0
+    for _ in range(3):
+        pull, near = {}, {}
+        for i, (p, _, _) in at.items():
+            others = [(p - q, m) for j, (q, m, _) in at.items() if j != i]
+            pull[i] = -sum(m * d / (d @ d) ** 1.5 for d, m in others)
+            near[i] = min(100.0, *(d @ d for d, _ in others))
+        top = max(0.0, *(np.sqrt(pull[i] @ pull[i]) / near[i] for i in at))
+        a0, a2 = 2 / (dt * (dt + old)), 2 / (old * (dt + old))
+        at = {i: ((pull[i] + (a0 + a2) * p - a2 * q) / a0, m, p) for i, (p, m, q) in at.items()}
+        new = max(1e-6, 1 / np.sqrt(top))
+        if new < dt:
+            dt, old = new, dt
+        elif new > 4 * dt:
+            dt, old = 2 * dt, dt
+        else:
+            old = dt
+        clock += old
+    after, time = nbody.simulate(bodies, 3)
+    assert time == pytest.approx(clock)
+    for r in after.collect():
+        assert (r.x, r.y, r.z) == pytest.approx(tuple(at[r.id][0]), rel=1e-6)
+
+
+def test_positions_are_written_as_rows(spark):
+    from sparkernels.sources import sinks
+
+    bodies = random.bodies(spark, 3)
+    want = {r.id: f"{r.x:.5f} | {r.y:.5f} | {r.z:.5f}" for r in bodies.collect()}
+    assert {r.id: r.line for r in sinks.positions_of(bodies).collect()} == want
