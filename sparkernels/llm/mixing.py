@@ -141,9 +141,13 @@ def mixed(docs: DataFrame, weigh=cyclic_weights) -> DataFrame:
     a = docs.select(F.col("doc_id").cast("long").alias("of"), text_key().alias("text_of"), F.struct(*docs.columns).alias("row"))
     found = a.join(taken, F.col("of").eqNullSafe(F.col("doc_id")) & (F.col("text_of") == F.col("key")))
     once = found.where("rows = 1").select("row", F.col("copies").alias("times"))
+    often = taken.where("rows > 1")
+    if not often.take(1):
+        return once.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")
     # Repeated rows are numbered where they lie, in a table that keeps their places: a window takes one group's rows of
     # one partition, and another a group's counts by partition.
-    held = Table(found.where("rows > 1").select("doc_id", "key", "row", "copies", "rows").withColumn("id", F.monotonically_increasing_id()), "mix-repeated").df
+    some = a.join(Table(often, "mix-often").df, F.col("of").eqNullSafe(F.col("doc_id")) & (F.col("text_of") == F.col("key")))
+    held = Table(some.select("doc_id", "key", "row", "copies", "rows").withColumn("id", F.monotonically_increasing_id()), "mix-repeated").df
     parted = held.withColumn("part", F.shiftright("id", 33))
     by = Window.partitionBy("part", "doc_id", "key")
     counts = parted.groupBy("part", "doc_id", "key").agg(F.count("*").alias("n"))
