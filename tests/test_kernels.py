@@ -327,8 +327,6 @@ def test_steps_in_time_against_plain_loops(spark):
             dt, old = new, dt
         elif new > 4 * dt:
             dt, old = 2 * dt, dt
-        else:
-            old = dt
         clock += old
     after, time = nbody.simulate(bodies, 3)
     assert time == pytest.approx(clock)
