@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import chat, decontaminate, embeddings, mixing, pii, quality, secret_scan, simhash, substring, wavelet
 from .common import documents
@@ -40,7 +41,8 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymised(documents(spark, sf_dir, "doc_id", "text"))
+    """The key is a public one, so that reruns agree: real data take one that only their owner has."""
+    return pii.pseudonymised(documents(spark, sf_dir, "doc_id", "text"), "a public key for reproducible runs")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +51,8 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
-    planted = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turn = F.col("id")
+    planted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), turn.alias("turn"), F.when(turn == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     return chat.digest(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(planted))
 
 
