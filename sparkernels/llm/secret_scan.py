@@ -26,11 +26,12 @@ PARTS = (
 #: A cheap test for any part, so most texts skip their patterns.
 HINT = r"AKIA|ASIA|://|(?i:[_-]?id[\"']?\x20*[:=]|password|passwd|secret|pwd)"
 
-#: Kinds that link as another: base spans of secret values, reported anyway, complement identifiers and endpoints.
-ROLES = {"assign": "part_secret", "hex": "part_secret"}
+#: Kinds that link as another: base spans, reported anyway, are secrets or identifiers beside weak parts.
+ROLES = {"assign": "part_secret", "hex": "part_secret", "access": "part_id"}
 
-#: Parts link within a scope of so many code points.
+#: Parts link within one scope and so many code points. A scope ends at a blank line, a line of dashes or a section's heading.
 SCOPE = 256
+BREAK = r"\n[\x20\t\r]*\n|\n-{3,}[\x20\t\r]*(?=\n)|\n(?=\[[^\[\]\n]{1,80}\][\x20\t\r]*\n)"
 
 KINDS = [k for k, *_ in BASE] + [k for k, _ in PARTS]
 
@@ -44,25 +45,29 @@ def _cut(text: Column, pattern: str, group: int) -> Column:
 
 
 def _found(docs: DataFrame) -> DataFrame:
-    """doc_id, key, kind, lo, hi of every span of every pattern, repeated rows once, too short base spans dropped."""
+    """doc_id, key, kind, lo, hi, scope of every span of every pattern, repeated rows once, too short base spans dropped."""
     text = F.coalesce("text", F.lit(""))
     hinted = text.rlike(HINT)
     least = F.create_map(*[x for k, _, _, n in BASE for x in (F.lit(k), F.lit(n))])
     # A short hex run is always dropped, so the pattern itself asks for the length; offsets stay the same.
     cuts = [F.when(text.rlike(p), _cut(text, p, g)).alias(k) for k, p, g, _ in (BASE[0], BASE[1], ("hex", HEX[:-1] + "{16,}", 0, 16))]
     cuts += [F.when(hinted & text.rlike(p), _cut(text, p, 0)).alias(k) for k, p in PARTS]
+    cuts.append(F.when(hinted & text.rlike(BREAK), _cut(text, BREAK, 0)).alias("break"))
     wide = docs.select("doc_id", text_key().alias("key"), *cuts)
-    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("cuts")) for k in KINDS])
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("cuts")) for k in (*KINDS, "break")])
     each = wide.where(F.coalesce(*[F.col(k) for k in KINDS]).isNotNull()).select("doc_id", "key", F.explode(kinds).alias("k")).select("doc_id", "key", "k.kind", F.posexplode("k.cuts").alias("n", "cut"))
     each = each.select("doc_id", "key", "kind", "n", "cut.piece", "cut.whole", "cut.inner").dropDuplicates(["doc_id", "key", "kind", "n"])
     upto = F.sum(F.col("piece") + F.col("whole")).over(Window.partitionBy("doc_id", "key", "kind").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
     spans = each.withColumn("hi", upto.cast("long")).withColumn("lo", F.col("hi") - F.col("whole"))
-    return spans.where(F.coalesce(F.col("inner") >= least[F.col("kind")], F.lit(True))).select("doc_id", "key", "kind", "lo", "hi")
+    long = spans.where(F.coalesce(F.col("inner") >= least[F.col("kind")], F.lit(True))).select("doc_id", "key", "kind", "lo", "hi")
+    scope = F.sum((F.col("kind") == "break").cast("int")).over(Window.partitionBy("doc_id", "key").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, 0))
+    return long.withColumn("scope", scope).where("kind <> 'break'")
 
 
 def _linked(spans: DataFrame) -> DataFrame:
-    """The weak parts that have a complementary part within the scope: doc_id, key, kind, lo, hi.
+    """The weak parts that have a complementary part within their scope: doc_id, key, kind, lo, hi.
 
+    A secret complements an identifier or an endpoint and they a secret; an identifier and an endpoint alone are nothing.
     An interval join: of two parts the one behind starts in the bin in which the one before ends or in the next, as
     the gap between them is a scope at most, however long they are. A bin holds at most as many starts, and as many
     ends, of a kind as the scope has code points. Base spans with a role (ROLES) are partners here, not results.
@@ -77,7 +82,7 @@ def _linked(spans: DataFrame) -> DataFrame:
     before = parts.withColumn("bin", F.explode(F.array(first, first + 1)))
 
     def met(mine: DataFrame, other: DataFrame, gap: Column) -> DataFrame:
-        on = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.bin") == F.col("b.bin")) & (F.col("a.role") != F.col("b.role")) & gap.between(0, SCOPE)
+        on = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.bin") == F.col("b.bin")) & (F.col("a.scope") == F.col("b.scope")) & ((F.col("a.role") == "part_secret") != (F.col("b.role") == "part_secret")) & gap.between(0, SCOPE)
         return mine.where(F.col("kind").isin(weak)).alias("a").join(other.alias("b"), on, "left_semi").select("a.doc_id", "a.key", "a.kind", "a.lo", "a.hi")
 
     return met(before, behind, F.col("b.lo") - F.col("a.hi")).union(met(behind, before, F.col("a.lo") - F.col("b.hi"))).distinct()
@@ -86,14 +91,14 @@ def _linked(spans: DataFrame) -> DataFrame:
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, key, spans) of the rows of docs (doc_id, text) that have any: array<struct<lo, rank, kind, hi>> in order.
 
-    Base kinds are reported wherever they match. An identifier, secret or endpoint too weak for that is reported only
-    when a part of another kind lies within SCOPE code points of it without overlapping it; assigned and hex base spans
-    count as secrets for that. Null and empty texts have
-    no spans; repeated rows share one result; several spans may share a place.
+    Base kinds are reported wherever they match. An identifier or endpoint too weak for that is reported only when a
+    secret lies within SCOPE code points of it in the same scope without overlapping it, and a weak secret when an
+    identifier or endpoint does; assigned and hex base spans count as secrets for that, access ones as identifiers.
+    Null and empty texts have no spans; repeated rows share one result; several spans may share a place.
     """
     prepare(docs.sparkSession)
     spans = Table(_found(docs), "spans").df
-    base = spans.where(F.col("kind").isin([k for k, *_ in BASE]))
+    base = spans.where(F.col("kind").isin([k for k, *_ in BASE])).drop("scope")
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int")
     each = base.union(_linked(spans)).withColumn("span", F.struct("lo", rank.alias("rank"), "kind", "hi"))
     return each.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list("span")).alias("spans"))
