@@ -5,15 +5,17 @@ passages that share an anchor, and the passages of a group meet in one task. A w
 least hash of its 10-word shingles, which only its words decide. Consecutive windows with one anchor make a piece, and
 equal windows of two documents lie in pieces of the same anchor:
 
-1. pieces that equal a smaller document's piece are removed whole (one row per distinct piece, no automaton);
+1. pieces that equal a smaller document's piece are removed whole (one row per distinct piece, no automaton), which is
+   how thousands of copies are dealt out; `shortcut=False` sends them through the automata too, with the same result;
 2. distinct pieces of an anchor, in the order of doc_id, stream through the automaton of those of smaller documents;
-3. anchors with more distinct pieces than GROUP are split into their single windows, as pieces of one window each.
+3. an anchor with more distinct pieces than GROUP is too large a shard: its windows are cut anew by finer anchors, their
+   least two, four, eight.. shingle hashes together, and go back to 1. All 41 shingles of a window name little but itself.
 """
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
+from functools import reduce
 from itertools import groupby
 
 import numpy as np
@@ -26,8 +28,9 @@ from .common import Table, encoded, prepare, text_key, tidied
 
 WINDOW = 50
 SHINGLE = 10
-#: Distinct pieces that one task's automaton takes; larger groups take the exact way of step 3.
+#: Distinct pieces that one automaton takes; larger groups are cut by finer anchors, of so many shingles of a window.
 GROUP = 256
+LEVELS = (2, 4, 8, 16, WINDOW - SHINGLE + 1)
 #: Words whose hashes a worker keeps, and windows looked at together.
 CACHED, BLOCK = 1 << 17, 1 << 16
 
@@ -45,15 +48,20 @@ class _WordHash(dict):
 _hash = _WordHash()
 
 
-def anchors(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each shingle, and for each window the index of its anchor: its least shingle, the first of equals."""
+def shingles(words: list[bytes]) -> np.ndarray:
+    """The hash of each shingle."""
     h = np.fromiter(map(_hash.__getitem__, words), np.uint64, len(words))
     grams = np.zeros(len(words) - SHINGLE + 1, np.uint64)
     for i in range(SHINGLE):
         grams = grams * _MULTIPLIER + h[i : len(grams) + i]
     grams ^= grams >> np.uint64(32)
     grams *= np.uint64(0xD6E8FEB86659FD93)
-    grams ^= grams >> np.uint64(29)
+    return grams ^ (grams >> np.uint64(29))
+
+
+def anchors(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each shingle, and for each window the index of its anchor: its least shingle, the first of equals."""
+    grams = shingles(words)
     view = np.lib.stride_tricks.sliding_window_view(grams, WINDOW - SHINGLE + 1)
     least = np.concatenate([view[i : i + BLOCK].argmin(axis=1) for i in range(0, len(view), BLOCK)])
     return grams, least + np.arange(len(least))
@@ -68,25 +76,51 @@ def pieces(words: list[bytes]) -> Iterator[tuple[int, int, int, bytes]]:
         yield anchor, a, b - a, xxhash.xxh3_128_digest(b" ".join(words[a : b + WINDOW - 1]))
 
 
+def finer(words: list[bytes], first: int, windows: int, level: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """The same of the pieces into which the `level` least shingles of each window cut a piece."""
+    words = words[first : first + windows + WINDOW - 1]
+    least = np.sort(np.lib.stride_tricks.sliding_window_view(shingles(words), WINDOW - SHINGLE + 1), axis=1)[:, :level]
+    names = np.zeros(windows, np.uint64)
+    for k in range(level):
+        names = (names ^ (names >> np.uint64(31))) * _MULTIPLIER + least[:, k]
+    starts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+    for a, b, name in zip(starts.tolist(), [*starts[1:].tolist(), windows], names[starts].view(np.int64).tolist(), strict=True):
+        yield name, first + a, b - a, xxhash.xxh3_128_digest(b" ".join(words[a : b + WINDOW - 1]))
+
+
 PIECES = "doc_id long, key long, anchor long, first int, windows int, h1 long, h2 long"
 
 
+def _pieces(batch: pa.RecordBatch, cut: Iterator[tuple[int, tuple]]) -> pa.RecordBatch:
+    """The cut pieces (row of the batch, piece) with their documents' doc_id and key."""
+    rows, anchor, first, windows, digests = [], [], [], [], []
+    for i, (a, f, n, d) in cut:
+        rows.append(i)
+        anchor.append(a)
+        first.append(f)
+        windows.append(n)
+        digests.append(d)
+    h = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+    at = pa.array(rows, pa.int64())
+    made = [pa.array(anchor, pa.int64()), pa.array(first, pa.int32()), pa.array(windows, pa.int32()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())]
+    return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *made], ["doc_id", "key", "anchor", "first", "windows", "h1", "h2"])
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows, anchor, first, windows, digests = [], [], [], [], []
-        for i, text in enumerate(encoded(batch.column(2))):
-            words = text.split()
-            if len(words) >= WINDOW:
-                for a, f, n, d in pieces(words):
-                    rows.append(i)
-                    anchor.append(a)
-                    first.append(f)
-                    windows.append(n)
-                    digests.append(d)
-        h = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-        at = pa.array(rows, pa.int64())
-        made = [pa.array(anchor, pa.int64()), pa.array(first, pa.int32()), pa.array(windows, pa.int32()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())]
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *made], ["doc_id", "key", "anchor", "first", "windows", "h1", "h2"])
+        texts = ((i, text.split()) for i, text in enumerate(encoded(batch.column(2))))
+        yield _pieces(batch, ((i, piece) for i, words in texts if len(words) >= WINDOW for piece in pieces(words)))
+
+
+def _recut(level: int):
+    """The finer pieces of the wanted ones of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = ((i, text.split(), wanted) for i, (text, wanted) in enumerate(zip(encoded(batch.column(2)), batch.column(3).to_pylist(), strict=True)))
+            yield _pieces(batch, ((i, piece) for i, words, wanted in texts for w in wanted for piece in finer(words, w["first"], w["windows"], level)))
+
+    return tidied(run)
 
 
 class SuffixAutomaton:
@@ -155,11 +189,11 @@ def spans(words: list[bytes], known: SuffixAutomaton, least: int = WINDOW) -> li
     return found
 
 
-FETCHED = "doc_id long, key long, anchor long, firsts array<int>, words string, h1 long, h2 long"
+FETCHED = "doc_id long, key long, anchor long, firsts array<int>, words string"
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of the wanted pieces of each text; of crowded anchors, each window's 128-bit hash."""
+    """The words of the wanted pieces of each text, equal pieces once."""
     for batch in batches:
         out: list[tuple] = []
         for doc_id, key, text, wanted in zip(*(c for c in batch.columns), strict=True):
@@ -167,13 +201,8 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             places: dict[tuple, set[int]] = {}
             for w in wanted.as_py():
                 a, n = w["first"], w["windows"]
-                if w["crowded"]:
-                    for first in range(a, a + n):
-                        h = xxhash.xxh3_128_digest(b" ".join(words[first : first + WINDOW]))
-                        places.setdefault((w["anchor"], None, *struct.unpack("<qq", h)), set()).add(first)
-                else:
-                    places.setdefault((w["anchor"], b" ".join(words[a : a + n + WINDOW - 1]), None, None), set()).add(a)
-            out += [(doc_id.as_py(), key.as_py(), anchor, sorted(firsts), *rest) for (anchor, *rest), firsts in places.items()]
+                places.setdefault((w["anchor"], b" ".join(words[a : a + n + WINDOW - 1])), set()).add(a)
+            out += [(doc_id.as_py(), key.as_py(), anchor, sorted(firsts), piece) for (anchor, piece), firsts in places.items()]
             if len(out) >= 20_000:
                 yield _batch(out)
                 out = []
@@ -181,8 +210,8 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.string(), pa.int64(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "key", "anchor", "firsts", "words", "h1", "h2"])
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "key", "anchor", "firsts", "words"])
 
 
 SPANS = "doc_id long, key long, start int, stop int"
@@ -219,32 +248,41 @@ def _spans(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "key", "start", "stop"])
 
 
-def repeated(keyed: DataFrame, group: int = GROUP) -> DataFrame:
+def _wanted(keyed: DataFrame, pieces_: DataFrame, *fields: str) -> DataFrame:
+    """(doc_id, key, text, wanted) of the texts that hold any of the pieces."""
+    each = pieces_.groupBy("doc_id", "key").agg(F.collect_set(F.struct(*fields)).alias("wanted"))
+    return keyed.join(each, ["doc_id", "key"]).select("doc_id", "key", "text", "wanted")
+
+
+def repeated(keyed: DataFrame, group: int = GROUP, shortcut: bool = True) -> DataFrame:
     """Spans (doc_id, key, start, stop in words) to remove from keyed texts (doc_id, key, text); they may overlap."""
     cut = Table(keyed.where(F.col("doc_id").isNotNull()).mapInArrow(tidied(_cut), PIECES), "pieces")
-    # Tables on one side of a join leave Spark free to split hot keys of the other.
-    shared = Table(cut.df.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor"), "shared")
-    met = Table(cut.df.join(shared.df, "anchor", "left_semi"), "met")
-    cut.release()
-    shared.release()
-    same = ["anchor", "windows", "h1", "h2"]
-    distinct = met.df.groupBy(*same).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    kinds = Table(distinct.groupBy("anchor").agg(F.count("*").alias("kinds")), "kinds")
-    known = distinct.join(kinds.df, "anchor").where("kinds > 1 or least < most").select(*same, "least", "kinds")
-    stood = Table(met.df.join(known, same).select("doc_id", "key", "anchor", "first", "windows", "least", "kinds"), "stood").df
-    met.release()
-    kinds.release()
-    whole = stood.where("doc_id > least").select("doc_id", "key", F.col("first").alias("start"), (F.col("first") + F.col("windows") + WINDOW - 1).alias("stop"))
-    wanted = stood.where("doc_id = least and kinds > 1").select("doc_id", "key", F.struct("anchor", "first", "windows", (F.col("kinds") > group).alias("crowded")).alias("w"))
-    wanted = wanted.groupBy("doc_id", "key").agg(F.collect_set("w").alias("wanted"))
-    fetched = Table(keyed.join(wanted, ["doc_id", "key"]).select("doc_id", "key", "text", "wanted").mapInArrow(tidied(_fetch), FETCHED), "fetched").df
-    few = fetched.where("words is not null").select("anchor", "doc_id", "key", "firsts", "words").repartition("anchor").sortWithinPartitions("anchor", "doc_id", "key", "firsts")
-    single = fetched.where("words is null").select("doc_id", "key", "firsts", "h1", "h2")
-    # Equal windows combine before the shuffle, and a document is held against the smallest id of each of its own.
-    first = single.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"))
-    later = single.join(first, ["h1", "h2"]).where("doc_id > least").select("doc_id", "key", F.explode("firsts").alias("start"))
-    later = later.select("doc_id", "key", "start", (F.col("start") + WINDOW).alias("stop"))
-    return whole.union(few.mapInArrow(tidied(_streamed), SPANS)).union(later)
+    found: list[DataFrame] = []
+    for level in (*LEVELS, None):
+        # Tables on one side of a join leave Spark free to split hot keys of the other.
+        shared = Table(cut.df.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor"), "shared")
+        met = Table(cut.df.join(shared.df, "anchor", "left_semi"), "met")
+        cut.release()
+        shared.release()
+        same = ["anchor", "windows", "h1", "h2"]
+        distinct = met.df.groupBy(*same).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+        kinds = Table(distinct.groupBy("anchor").agg(F.count("*").alias("kinds")), "kinds")
+        known = distinct.join(kinds.df, "anchor").where("kinds > 1 or least < most").select(*same, "least", "kinds")
+        stood = Table(met.df.join(known, same).select("doc_id", "key", "anchor", "first", "windows", "least", "kinds"), "stood").df
+        met.release()
+        kinds.release()
+        if shortcut:
+            found.append(stood.where("doc_id > least").select("doc_id", "key", F.col("first").alias("start"), (F.col("first") + F.col("windows") + WINDOW - 1).alias("stop")))
+            stood = stood.where("doc_id = least and kinds > 1")
+        small = F.lit(True) if level is None else F.col("kinds") <= group
+        fetched = Table(_wanted(keyed, stood.where(small), "anchor", "first", "windows").mapInArrow(tidied(_fetch), FETCHED), "fetched").df
+        sorted_ = fetched.select("anchor", "doc_id", "key", "firsts", "words").repartition("anchor").sortWithinPartitions("anchor", "doc_id", "key", "firsts")
+        found.append(sorted_.mapInArrow(tidied(_streamed), SPANS))
+        crowded = stood.where(~small)
+        if level is None or not crowded.take(1):
+            return reduce(DataFrame.union, found)
+        cut = Table(_wanted(keyed, crowded, "first", "windows").mapInArrow(_recut(level), PIECES), "pieces")
+    raise AssertionError("the last level has no crowded anchors")
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +304,7 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
 
-def stripped(docs: DataFrame, group: int = GROUP) -> DataFrame:
+def stripped(docs: DataFrame, group: int = GROUP, shortcut: bool = True) -> DataFrame:
     """For each row of docs (doc_id, text): doc_id, n_words, n_removed, kept (the words left, joined by one space).
 
     A word goes if a window of 50 consecutive words that holds it also starts in a document with a smaller doc_id,
@@ -275,7 +313,7 @@ def stripped(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """
     prepare(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("long"), text_key().alias("key"), "text")
-    found = repeated(keyed, group).groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    found = repeated(keyed, group, shortcut).groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     joined = keyed.join(found, ["doc_id", "key"], "left").select("doc_id", "text", F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops"))
     return joined.mapInArrow(tidied(_strip), "doc_id long, n_words long, n_removed long, kept string")
 

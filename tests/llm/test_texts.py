@@ -155,8 +155,15 @@ def test_substring_dedup_against_all_windows(docs, texts):
     assert sorted((str(r[0]), *r[1:]) for r in substring.digest(docs).collect()) == stripped(texts)
 
 
-def test_crowded_anchors_give_the_same(docs):
-    assert sorted(map(str, substring.stripped(docs, group=1).collect())) == sorted(map(str, substring.stripped(docs).collect()))
+@pytest.mark.parametrize(("group", "shortcut"), [(1, True), (3, False), (256, False)])
+def test_finer_anchors_and_automata_alone_give_the_same(spark, texts, group, shortcut):
+    rng = np.random.default_rng(12)
+    line = " ".join(f"common{i}" for i in range(12))
+    few = texts[:12] + [(100 + i, f"{' '.join(rng.choice(list('abcdef'), 45))} {line} {' '.join(rng.choice(list('abcdef'), 45))}") for i in range(8)]
+    few += [(200 + i, few[-1 - i][1][: 150 + 20 * i] + " " + texts[0][1]) for i in range(4)] + [(300, "a b " * 60), (301, "b a " * 60), (302, "a b " * 60)]
+    docs = spark.createDataFrame(few, "doc_id long, text string")
+    out = substring.stripped(docs, group=group, shortcut=shortcut).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, sha(r.kept)) for r in out) == stripped(few)
 
 
 @settings(max_examples=60, deadline=None)
