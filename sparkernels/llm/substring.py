@@ -9,7 +9,7 @@ equal windows of two documents lie in pieces of the same anchor:
    how thousands of copies are dealt out; `shortcut=False` sends them through the automata too, with the same result;
 2. distinct pieces of an anchor, in the order of doc_id, stream through the automaton of those of smaller documents;
 3. an anchor with more distinct pieces than GROUP is too large a shard: its windows are cut anew by finer anchors, their
-   least two, four, eight.. shingle hashes together, and go back to 1. All 41 shingles of a window name little but itself.
+   least four shingle hashes together, then all 41, which name little but the window itself, and go back to 1.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ WINDOW = 50
 SHINGLE = 10
 #: Distinct pieces that one automaton takes; larger groups are cut by finer anchors, of so many shingles of a window.
 GROUP = 256
-LEVELS = (2, 4, 8, 16, WINDOW - SHINGLE + 1)
+LEVELS = (4, WINDOW - SHINGLE + 1)
 #: Words whose hashes a worker keeps, and windows looked at together.
 CACHED, BLOCK = 1 << 17, 1 << 16
 
