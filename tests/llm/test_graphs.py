@@ -7,7 +7,6 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tokenizers
-import xxhash
 
 import corpus_pipeline
 from sparkernels.llm import embeddings, mixing, quality
@@ -60,14 +59,9 @@ def test_no_vectors(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
-def shingle_print(text):
+def shingle_set(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
-    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
-    bits = np.zeros(64)
-    for s in shingles:
-        h = xxhash.xxh64_intdigest(s.encode(), 42)
-        bits += [h >> b & 1 for b in range(64)]
-    return sum(1 << b for b in range(64) if bits[b] * 2 > len(shingles))
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
 def windows(text):
@@ -90,8 +84,8 @@ def test_each_stage_against_brute_force(spark, sf_dir):
     model = quality.train(first, labels)
     assert set(rows[1]) == {i for i, r in rows[0].items() if model.score(r.text.encode()) >= quality.THRESHOLD}
     ids = sorted(rows[1])
-    prints = [shingle_print(rows[1][i].text) for i in ids]
-    root = roots(len(ids), [(a, b) for a in range(len(ids)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 3])
+    sets = [shingle_set(rows[1][i].text) for i in ids]
+    root = roots(len(ids), [(a, b) for a in range(len(ids)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])])
     assert set(rows[2]) == {ids[k] for k in range(len(ids)) if root[k] == k}
     asked = set().union(*(windows(r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()))
     assert set(rows[3]) == {i for i, r in rows[2].items() if not windows(r.text) & asked}
