@@ -33,8 +33,9 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def replicated(x: np.ndarray, pivots: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
     """The own cell of each vector (its nearest pivot), and a mask of the cells that must also see it.
 
-    A vector within `reach` of one that is nearer to pivot j lies within `reach` of j's half-space: by the triangle
-    inequality (d_j^2 - d_own^2) / (2 d(own, j)) <= reach.
+    The triangle inequality alone bounds d_j - d_own by 2 reach for a vector within `reach` of one nearer to pivot j. The
+    bound here is tighter: that other one lies beyond the plane halfway between the pivots, so by the triangle inequality
+    the distance to this plane is `reach` at most: (d_j^2 - d_own^2) / (2 d(own, j)) <= reach.
     """
     d2 = np.maximum(0, 2 - 2 * (x @ pivots.T))
     own = d2.argmin(axis=1)
@@ -130,8 +131,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL
 
     Rows link when their labels are equal and their cosine is at least `cosine`. Null or zero vectors, null or
     non-finite components, null labels and vectors of other lengths link with nothing; a null vec_id links with
-    nothing either and its component is null. Repeated rows are vectors of their own. Equal vectors are joined once,
-    with a count. Pivots cut each large label into cells, every vector is owned by the cell of its nearest pivot and
+    nothing either and its component is null. Repeated rows are vectors of their own, and so are unlike vectors under
+    one vec_id. Equal vectors are joined once, with a count. Pivots cut each large label into cells, every vector is owned by the cell of its nearest pivot and
     copied to those whose boundary it is near to, and an owner meets all vectors of its cell in pairs of bounded blocks.
     """
     spark = vectors.sparkSession
@@ -140,8 +141,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>" if "double" in dict(vectors.dtypes)["embedding"] else "array<float>"), F.col("label").cast("long"))
     sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     valid = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(sound, F.lit(False)))
-    reps = Table(valid.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).select("rep", "label", F.size("embedding").alias("dim"), "copies", "embedding"), "reps").df
-    spread = Table(reps.mapInArrow(_assigner(_pivots(reps, cell), reach), "rep long, label long, dim int, copies long, embedding " + dict(reps.dtypes)["embedding"] + ", cell int, own boolean"), "cells").df
+    # Written once, so the numbers of the distinct vectors stay: a vec_id may stand for several.
+    reps = Table(valid.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")).select(F.monotonically_increasing_id().alias("rep"), "least", "label", F.size("embedding").alias("dim"), "copies", "embedding"), "reps").df
+    spread = Table(reps.select("rep", "label", "dim", "copies", "embedding").mapInArrow(_assigner(_pivots(reps, cell), reach), "rep long, label long, dim int, copies long, embedding " + dict(reps.dtypes)["embedding"] + ", cell int, own boolean"), "cells").df
     where = ["label", "dim", "cell"]
     blocks = spread.groupBy(*where).agg(F.ceil(F.sum(F.col("own").cast("int")) / block).cast("int").alias("owners"), F.ceil(F.count("*") / block).cast("int").alias("others"))
     dealt = spread.join(blocks.where("owners > 0"), where).withColumn("h", F.xxhash64("rep"))
@@ -157,7 +159,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL
     counts = found.where("u = v").groupBy("u").agg(F.sum("n").alias("n"))
     joined = components(thinned(found.where("u <> v").select("u", "v")))
     named = reps.join(counts, F.col("rep") == F.col("u"), "left").join(joined, F.col("rep") == F.col("node"), "left")
-    named = named.select("label", "embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    named = named.select("label", "embedding", "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("root"))
+    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = named.join(ids, "root").select("label", "embedding", "n_links", "component_id")
     inside = valid.join(named, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     outside = rows.where(~(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(sound, F.lit(False)))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return inside.union(outside).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -55,6 +55,15 @@ def test_embedding_join_against_all_pairs(spark, cell, block):
     assert all((got[i].n_links, got[i].component_id) == (0, i) for i, _, _ in odd) and len(got) == len(rows) + len(odd)
 
 
+def test_unlike_vectors_of_one_id_and_clashing_columns(spark):
+    rows = [(1, [1.0, 0.0], 0, "a"), (1, [0.0, 1.0], 0, "b"), (2, [0.0, 1.0], 0, "c"), (3, [0.01, 1.0], 0, "d"), (0, [1.0, 0.01], 0, "e"), (5, [0.7, -0.7], 0, "f"), (5, [0.7, -0.7], 0, "f")]
+    for clash in ("rep", "root"):
+        got = embeddings.near_duplicates(spark.createDataFrame(rows, f"vec_id long, embedding array<float>, label int, {clash} string")).collect()
+        assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(0, 1, 0), (1, 1, 0), (1, 2, 1), (2, 2, 1), (3, 2, 1), (5, 1, 5), (5, 1, 5)]
+        if clash == "rep":
+            assert sum(r.kept for r in got) == 4
+
+
 def test_no_vectors(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
