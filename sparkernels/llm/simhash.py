@@ -24,6 +24,20 @@ BLOCK = 1 << 16
 HOT = 2048
 
 
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """In how many hashes each bit is set."""
+    return np.unpackbits(hashes.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _majority(ones: np.ndarray, total: int) -> int:
+    return int.from_bytes(np.packbits(ones * 2 > total, bitorder="little").tobytes(), "little")
+
+
+def folded(hashes: np.ndarray) -> int:
+    """The SimHash of a set of shingles, each counted once; zero if there are none."""
+    return _majority(sum((_ones(hashes[i : i + BLOCK]) for i in range(0, len(hashes), BLOCK)), np.zeros(64, np.int64)), len(hashes))
+
+
 def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
     """The 64-bit SimHash of all word shingles: a bit is set if it is set in over half of their hashes."""
     tokens = text.translate(LOWER_ASCII).split()
@@ -36,8 +50,8 @@ def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
     ones = np.zeros(64, np.int64)
     while block := list(islice(shingles, BLOCK)):
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, block, repeat(seed)), "<u8", len(block))
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > total, bitorder="little").tobytes(), "little")
+        ones += _ones(hashes)
+    return _majority(ones, total)
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,10 +142,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, with one document of each group of near-duplicates: that of the smallest doc_id.
 
     Near-duplicates are documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more, by way of
-    others too. Fingerprints cannot promise that at any radius, so `similar` finds them and none of op1's links count.
+    others too. SimHash comes first: the sets' fingerprints meet by multi-index hashing (`near`), and what they link is
+    checked by whole sets. No radius promises all similar pairs, so an exact join finds those that it leaves apart.
     Rows that repeat both its doc_id and its text are one document, and one of them stays; different texts under one
     doc_id are told apart only by their groups and stay while one of those groups has that smallest id. Rows without
     a doc_id cannot be chosen and stay.
     """
-    kept = similar.grouped(docs).groupBy("root").agg(F.min("least").alias("doc_id")).select("doc_id").distinct()
+    kept = similar.grouped(docs, folded, near).groupBy("root").agg(F.min("least").alias("doc_id")).select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).union(docs.where(F.col("doc_id").isNull()))

@@ -1,8 +1,9 @@
-"""Groups of documents whose sets of word shingles have a Jaccard similarity of 4/5 or more, by an exact prefix join."""
+"""Groups of documents whose sets of word shingles have a Jaccard similarity of 4/5 or more: SimHash, checked by whole
+sets, then an exact prefix join for the pairs that it leaves apart."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import islice, repeat
 
@@ -32,7 +33,7 @@ ROUNDS, PARTNERS = 3, 6
 #: Bits of a set's parity sketch; two sketches differ in at most as many bits as their sets in shingles.
 BITS = 2048
 
-INDEX = "doc_id long, key long, fp long, n int, bits array<long>, rare int, prefix array<long>"
+INDEX = "doc_id long, key long, fp long, n int, bits array<long>, sim long, rare int, prefix array<long>"
 
 
 def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
@@ -72,7 +73,7 @@ def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return found[order], np.array([r["count"] for r in rows], np.int64)[order]
 
 
-def _indexer(common: np.ndarray, counts: np.ndarray):
+def _indexer(common: np.ndarray, counts: np.ndarray, fold: Callable[[np.ndarray], int]):
     def prefix(tokens: np.ndarray) -> tuple[np.ndarray, int]:
         """The first shingles, rare ones first, of which two similar sets have one in common, and how many are not listed as common."""
         rank = np.zeros(len(tokens), np.int64)
@@ -88,10 +89,11 @@ def _indexer(common: np.ndarray, counts: np.ndarray):
             prints = np.fromiter((xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets)).view(np.int64)
             sizes = pa.array([len(s) for s in sets], pa.int32())
             bits = _longs([_sketch(s) for s in sets])
+            sims = np.fromiter(map(fold, sets), np.uint64, len(sets)).view(np.int64)
             starts = [prefix(s) for s in sets]
             rare = pa.array([r for _, r in starts], pa.int32())
-            columns = [batch.column(0), batch.column(1), pa.array(prints), sizes, bits, rare, _longs([s for s, _ in starts])]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "fp", "n", "bits", "rare", "prefix"])
+            columns = [batch.column(0), batch.column(1), pa.array(prints), sizes, bits, pa.array(sims), rare, _longs([s for s, _ in starts])]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "fp", "n", "bits", "sim", "rare", "prefix"])
 
     return run
 
@@ -181,9 +183,24 @@ def _open(shared: DataFrame, joined: DataFrame) -> Table:
     return Table(now.join(mixed, "token"), "open")
 
 
-def grouped(docs: DataFrame) -> DataFrame:
+def _simhashed(classes: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(u, v): the first set of each SimHash with the others of that SimHash and with the first sets of SimHashes near it.
+
+    Links between SimHashes are thinned first, so a dense group of them has no more than its forests.
+    """
+    firsts = Table(classes.groupBy("sim").agg(F.min("fp").alias("first")), "simhashes").df
+    same = classes.join(firsts, "sim").where("fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b"))
+    one, two = firsts.toDF("u", "a"), firsts.toDF("v", "b")
+    met = thinned(near(firsts.select(F.col("sim").alias("fp")))).join(one, "u").join(two, "v").select("a", "b")
+    return same.union(met).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+
+
+def grouped(docs: DataFrame, fold: Callable[[np.ndarray], int], near: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(fp, least, root): every distinct shingle set, its smallest doc_id and its group; similar sets share a group.
 
+    fold: the SimHash of a set of shingles. near: links (u, v) between distinct SimHashes `fp`. What SimHash links is
+    checked by whole sets and makes the first groups; the exact join that follows finds all other similar pairs.
+
     Sets are told apart by 64-bit hashes. Two sets of similarity 4/5 share a shingle among the first fifth of each, in
     any one order of all shingles (prefix filter); rare ones come first. In a few rounds each set is compared with some
     of other groups that it shares most such shingles with, so large groups become one without all their pairs; then all
@@ -191,16 +208,18 @@ def grouped(docs: DataFrame) -> DataFrame:
     None is lost. Null and empty texts have the empty set, in which they are copies of each other.
     """
     prepare(docs.sparkSession)
-    index = docs.select(F.col("doc_id").cast("long"), text_key().alias("key"), "text").mapInArrow(tidied(_indexer(*_common(docs))), INDEX)
+    index = docs.select(F.col("doc_id").cast("long"), text_key().alias("key"), "text").mapInArrow(tidied(_indexer(*_common(docs), fold)), INDEX)
     kept = Table(index, "prefixes")
     prints = kept.df
-    rows = prints.groupBy("fp", F.col("doc_id").alias("doc"), "key").agg(F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bits").alias("bits"))
-    one = F.min(F.struct(F.col("doc").isNull().alias("without"), "doc", "key", "copies", "n", "bits"))
+    rows = prints.groupBy("fp", F.col("doc_id").alias("doc"), "key").agg(F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("sim").alias("sim"))
+    one = F.min(F.struct(F.col("doc").isNull().alias("without"), "doc", "key", "copies", "n", "bits", "sim"))
     classes = Table(rows.groupBy("fp").agg(F.min("doc").alias("least"), one.alias("x")).select("fp", "least", "x.*"), "classes").df
     # Copies of one set need not go first: they share all their shingles and drop out with those of a single set.
-    open_ = Table(_shared(prints).withColumn("c", F.col("fp")), "shared")
+    shared = Table(_shared(prints), "shared")
     kept.release()
-    links = []
+    links = [_checked(_sketched(_simhashed(classes, near), classes), docs, classes)]
+    open_ = _open(shared.df, components(thinned(links[0])))
+    shared.release()
     for turn in range(ROUNDS):
         links.append(_checked(_sketched(_partners(open_.df, turn), classes), docs, classes))
         joined = components(thinned(reduce(DataFrame.union, links)))

@@ -136,6 +136,34 @@ def test_keep_one_of_each_similar_group_against_all_pairs(spark, monkeypatch, co
     assert sorted(r.doc_id for r in found.collect()) == want
 
 
+@pytest.mark.parametrize("left_out", ["exact join", "SimHash"])
+def test_keep_one_goes_through_simhash_and_an_exact_join(spark, monkeypatch, left_out):
+    """Near copies are found by SimHash with the join left out, and none is lost when SimHash links nothing."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for _ in range(8):
+        base = [f"v{i}" for i in rng.integers(0, 5000, 400)]
+        for at in (None, 399, 200):
+            copy = list(base)
+            if at is not None:
+                copy[at] = f"n{rng.integers(0, 10**9)}"
+            rows.append((len(rows), " ".join(copy)))
+    sims = [simhash.folded(np.array(sorted({xxhash.xxh64_intdigest(" ".join(w[i : i + 5]), 42) for i in range(len(w) - 4)}), np.uint64)) for _, t in rows for w in [t.split()]]
+    root = [i if left_out == "exact join" else i - i % 3 for i in range(len(rows))]
+    for i in range(len(rows)):
+        for j in range(i - i % 3, i):
+            if bin(sims[i] ^ sims[j]).count("1") <= 3:
+                root = [root[j] if r == root[i] else r for r in root]
+    if left_out == "exact join":
+        whole = simhash.similar._shared
+        monkeypatch.setattr(simhash.similar, "_shared", lambda prints: whole(prints).limit(0))
+    else:
+        monkeypatch.setattr(simhash, "near", lambda prints: prints.selectExpr("fp as u", "fp as v").limit(0))
+    found = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert len(set(root)) < len(rows) - 6
+    assert sorted(r.doc_id for r in found.collect()) == sorted(set(root))
+
+
 def stripped(texts, n=50):
     owner = {}
     for i, t in texts:
