@@ -34,6 +34,9 @@ LEVELS = (4, WINDOW - SHINGLE + 1)
 #: Words whose hashes a worker keeps, and windows looked at together.
 CACHED, BLOCK = 1 << 17, 1 << 16
 
+#: Bits of the filter that keeps texts without wanted pieces out of a shuffle: 2^17 rows of 64 at most are broadcast.
+SIEVE = 1 << 23
+
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -248,10 +251,21 @@ def _spans(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "key", "start", "stop"])
 
 
-def _wanted(keyed: DataFrame, pieces_: DataFrame, *fields: str) -> DataFrame:
-    """(doc_id, key, text, wanted) of the texts that hold any of the pieces."""
-    each = pieces_.groupBy("doc_id", "key").agg(F.collect_set(F.struct(*fields)).alias("wanted"))
-    return keyed.join(each, ["doc_id", "key"]).select("doc_id", "key", "text", "wanted")
+def _sieved(keyed: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
+    """keyed without most rows that no row of wanted names by doc_id and key, and with all that one does."""
+    at = F.pmod(F.xxhash64("doc_id", "key"), F.lit(bits))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+    marks = wanted.select(F.shiftright(at, 6).alias("_at"), bit.alias("_bit")).groupBy("_at").agg(F.bit_or("_bit").alias("_bits"))
+    return keyed.join(F.broadcast(marks), (F.shiftright(at, 6) == F.col("_at")) & (bit.bitwiseAND(F.col("_bits")) != 0), "left_semi")
+
+
+def _wanted(keyed: DataFrame, pieces_: DataFrame, *fields: str, bits: int = SIEVE) -> tuple[DataFrame, Table]:
+    """(doc_id, key, text, wanted) of the texts that hold any of the pieces, and a table for release when they are written.
+
+    Few texts do, so the others are kept out of the join's shuffle.
+    """
+    each = Table(pieces_.groupBy("doc_id", "key").agg(F.collect_set(F.struct(*fields)).alias("wanted")), "wanted")
+    return _sieved(keyed, each.df, bits).join(each.df, ["doc_id", "key"]).select("doc_id", "key", "text", "wanted"), each
 
 
 def repeated(keyed: DataFrame, group: int = GROUP, shortcut: bool = True) -> DataFrame:
@@ -265,23 +279,27 @@ def repeated(keyed: DataFrame, group: int = GROUP, shortcut: bool = True) -> Dat
         cut.release()
         shared.release()
         same = ["anchor", "windows", "h1", "h2"]
-        distinct = met.df.groupBy(*same).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-        kinds = Table(distinct.groupBy("anchor").agg(F.count("*").alias("kinds")), "kinds")
-        known = distinct.join(kinds.df, "anchor").where("kinds > 1 or least < most").select(*same, "least", "kinds")
+        distinct = Table(met.df.groupBy(*same).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")), "distinct")
+        kinds = Table(distinct.df.groupBy("anchor").agg(F.count("*").alias("kinds")), "kinds")
+        known = distinct.df.join(kinds.df, "anchor").where("kinds > 1 or least < most").select(*same, "least", "kinds")
         stood = Table(met.df.join(known, same).select("doc_id", "key", "anchor", "first", "windows", "least", "kinds"), "stood").df
-        met.release()
-        kinds.release()
+        for table in (met, distinct, kinds):
+            table.release()
         if shortcut:
             found.append(stood.where("doc_id > least").select("doc_id", "key", F.col("first").alias("start"), (F.col("first") + F.col("windows") + WINDOW - 1).alias("stop")))
             stood = stood.where("doc_id = least and kinds > 1")
         small = F.lit(True) if level is None else F.col("kinds") <= group
-        fetched = Table(_wanted(keyed, stood.where(small), "anchor", "first", "windows").mapInArrow(tidied(_fetch), FETCHED), "fetched").df
+        texts, wanted = _wanted(keyed, stood.where(small), "anchor", "first", "windows")
+        fetched = Table(texts.mapInArrow(tidied(_fetch), FETCHED), "fetched").df
+        wanted.release()
         sorted_ = fetched.select("anchor", "doc_id", "key", "firsts", "words").repartition("anchor").sortWithinPartitions("anchor", "doc_id", "key", "firsts")
         found.append(sorted_.mapInArrow(tidied(_streamed), SPANS))
         crowded = stood.where(~small)
         if level is None or not crowded.take(1):
             return reduce(DataFrame.union, found)
-        cut = Table(_wanted(keyed, crowded, "first", "windows").mapInArrow(_recut(level), PIECES), "pieces")
+        texts, wanted = _wanted(keyed, crowded, "first", "windows")
+        cut = Table(texts.mapInArrow(_recut(level), PIECES), "pieces")
+        wanted.release()
     raise AssertionError("the last level has no crowded anchors")
 
 

@@ -97,6 +97,18 @@ def test_links_within_three_bits_with_and_without_crowded_segments(spark, hot):
     assert {(r.u, r.v) for r in found.collect()} == want
 
 
+@pytest.mark.parametrize("bits", [1 << 23, 64])
+def test_texts_without_wanted_pieces_stay_out_of_the_shuffle(spark, bits):
+    keyed = spark.range(3000).selectExpr("id as doc_id", "id % 7 as key", "concat('text ', id) as text")
+    pieces = spark.createDataFrame([(i, i % 7, f) for i in range(0, 3000, 30) for f in (1, 5)] + [(60, 1, 2)], "doc_id long, key long, first int")
+    kept = substring._sieved(keyed, pieces, bits)
+    assert kept.columns == keyed.columns and kept.count() <= (105 if bits > 64 else 3000)
+    texts, wanted = substring._wanted(keyed, pieces, "first", bits=bits)
+    got = sorted((r.doc_id, r.key, r.text, sorted(w.first for w in r.wanted)) for r in texts.collect())
+    wanted.release()
+    assert got == [(i, i % 7, f"text {i}", [1, 5]) for i in range(0, 3000, 30)]
+
+
 def test_keep_one_of_each_group(docs, texts):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
