@@ -262,6 +262,21 @@ def test_cut_texts_and_forgotten_words_give_the_same_ids(monkeypatch, chunk, cac
     assert coder.held() < cached + 40_000
 
 
+def test_a_chunk_of_rows_is_looked_up_once(monkeypatch):
+    monkeypatch.setattr(wavelet, "CHUNK", 100)
+    rows = [(i, None if i % 7 == 3 else "ab cde " * (i % 5) + "x" * (130 if i % 11 == 5 else 9)) for i in range(60)]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in part], "text": [t for _, t in part]}) for part in (rows[:25], rows[25:])]
+    chunks = list(wavelet._chunks(iter(batches)))
+    assert [(i, t) for ids, texts in chunks for i, t in zip(ids, texts, strict=True)] == [(i, t or "") for i, t in rows]
+    assert all(len(texts) == 1 or sum(map(len, texts)) <= 100 for _, texts in chunks) and len(chunks) > 5
+    coder, lookups = wavelet.Encoder(tokenizer()), []
+    places = coder._places
+    monkeypatch.setattr(coder, "_places", lambda *a: lookups.append(1) or places(*a))
+    for _, texts in chunks:
+        assert [x.tolist() for x in coder.encode(texts)] == [x.tolist() for x in coder.whole(texts)]
+    assert len(lookups) <= len(chunks)
+
+
 def test_files_last_and_are_read_in_part(docs, tmp_path):
     index = wavelet.write(docs, tokenizer(), str(tmp_path / "out"), shard_ids=500)
     rows = sorted(index.collect(), key=lambda r: r.start)
